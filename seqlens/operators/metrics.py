@@ -141,5 +141,5 @@ def select_best(cmp: DataFrame, target_recall: float = 0.60, model: str = "model
                    F.lit(0.0) - F.coalesce(F.col("average_precision"), F.lit(-1.0)),
                    F.col(model))
     best = cmp.agg(F.min(F.struct(key.alias("_k"), F.struct(*cmp.columns).alias("_row"))).alias("_b"))
-    return best.select("_b._row.*").withColumn(
+    return best.where(F.col("_b").isNotNull()).select("_b._row.*").withColumn(
         "reached_target", F.col("recall") >= F.lit(target_recall))

@@ -25,7 +25,8 @@ def _pick(points: DataFrame, by: list[str], score, where=None) -> DataFrame:
     best = src.groupBy(*by).agg(F.min(F.struct((F.lit(0.0) - score).alias("_k"),
                                                  F.col("threshold").alias("_t"),
                                                  F.struct(*keep).alias("_row"))).alias("_b"))
-    return best.select(*by, "_b._row.*")
+    # a global aggregate over no rows still yields one (NULL) row: drop it
+    return best.where(F.col("_b").isNotNull()).select(*by, "_b._row.*")
 
 
 def threshold_f1(points: DataFrame, by=None) -> DataFrame:
