@@ -97,7 +97,10 @@ def temporal_features_stream(sdf: DataFrame, spec: SequenceSpec = LAPS) -> DataF
             hist = json.loads(rows_json)
         else:
             hist, seen = [], 0
-        batch = pd.concat(list(pdfs)).sort_values("step", kind="mergesort")
+        parts = [p for p in pdfs if len(p)]
+        if not parts:
+            return
+        batch = pd.concat(parts).sort_values("step", kind="mergesort")
         out = []
         last_step = hist[-1]["step"] if hist else None
         for rec in batch.to_dict("records"):
