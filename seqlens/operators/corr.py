@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlens.operators.ranking import average_ranks
+from seqlens.session import cut_lineage
 
 
 def _null_columns(df: DataFrame, cols: list[str]) -> set[str]:
@@ -31,9 +32,16 @@ def with_ranks(df: DataFrame, cols: list[str], prefix: str = "_r_") -> DataFrame
     return out
 
 
-def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(a, b, spearman) for the given pairs."""
+def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]], materialize: bool = True) -> DataFrame:
+    """(a, b, spearman) for the given pairs.
+
+    The input is read three times (null check, rank counts, rank join), so
+    the needed columns are first written once to the shared checkpoint
+    folder unless ``materialize`` is off.
+    """
     cols = sorted({c for p in pairs for c in p})
+    if materialize:
+        df = cut_lineage(df.select(*cols))
     nullable = _null_columns(df, cols)
     clean = [p for p in pairs if not (set(p) & nullable)]
     out = None
@@ -65,7 +73,9 @@ def spearman_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def target_correlation(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     """Spearman and Pearson of each feature against the target."""
-    sp = spearman_pairs(df, [(c, target) for c in cols]).select(F.col("a").alias("feature"), "spearman")
+    df = cut_lineage(df.select(*cols, target))
+    sp = spearman_pairs(df, [(c, target) for c in cols], materialize=False) \
+        .select(F.col("a").alias("feature"), "spearman")
     pe = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in cols])
     pe = pe.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("pearson"))
                                       for c in cols])))

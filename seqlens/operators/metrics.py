@@ -34,7 +34,8 @@ def _curve(scores: DataFrame, by=None, y: str = "y", p: str = "p") -> DataFrame:
     by = _by(by)
     g = score_groups(scores, by, y, p)
     cum = cumulative(g, "p", ["pos", "neg"], by=by, descending=True)
-    tot = g.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    # totals from the checkpointed range table: the score input is read once
+    tot = cum.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     if by:
         return cum.join(tot, by)
     s = stats_row(tot)

@@ -140,3 +140,27 @@ def distinct_options(df: DataFrame, cols: list[str]) -> DataFrame:
         .withColumn("_one", F.lit(1))
     return cumulative(stacked, "value", ["_one"], by=["column"]) \
         .select("column", "value", F.col("cum__one").cast("int").alias("ordinal"))
+
+
+def head(df: DataFrame, order: list[str], n: int = 5, cols: list[str] | None = None) -> DataFrame:
+    """First ``n`` rows in key order: a bounded top-k, not a global sort."""
+    out = df.orderBy(*order).limit(n)
+    return out.select(*cols) if cols else out
+
+
+def tail(df: DataFrame, order: list[str], n: int = 5, cols: list[str] | None = None) -> DataFrame:
+    out = df.orderBy(*[F.col(c).desc() for c in order]).limit(n)
+    return out.select(*cols) if cols else out
+
+
+def assert_no_null(df: DataFrame, cols: list[str], label: str = "X") -> None:
+    """Raise when any of ``cols`` holds NULL or NaN (one aggregate pass)."""
+    exprs = []
+    for c in cols:
+        miss = F.col(c).isNull()
+        if dict(df.dtypes)[c] in ("double", "float"):
+            miss = miss | F.isnan(c)
+        exprs.append(F.sum(miss.cast("long")))
+    n = df.agg(sum(exprs[1:], exprs[0]).alias("n")).first()["n"] if exprs else 0
+    if n:
+        raise AssertionError(f"{label} contains {n} missing values")

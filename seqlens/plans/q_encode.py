@@ -18,8 +18,10 @@ TE_COLS = ["driver", "race"]
 
 
 def split_laps(spark, sf):
+    """Split frame, written once: every encoder reads it for fit and apply."""
+    from seqlens.session import cut_lineage
     l = laps(spark, sf).withColumn("compound", fill_unknown("compound"))
-    return S.group_split(l, "race", 0.2, 42)
+    return cut_lineage(S.group_split(l, "race", 0.2, 42))
 
 
 SPLIT_SQL = GROUP_ORDER.replace("sp AS (SELECT laps.*, asg.split FROM laps JOIN asg USING (race))",

@@ -161,3 +161,10 @@ UNION ALL SELECT 'positive_rate', CASE WHEN pa + na > 0 THEN round(pa / (pa + na
 UNION ALL SELECT 'missing', cast(ma AS DOUBLE), cast(mb AS DOUBLE) FROM s"""))
 def q_label_comparison(spark, sf):
     return L.label_comparison(laps(spark, sf), "pit_next_lap", "will_pit")
+
+
+@register("q_temporal_features_split", with_laps(TEMPORAL_SQL))
+def q_temporal_features_split(spark, sf):
+    """Skew-safe twin of q_temporal_features (row index + bounded fan-out)."""
+    from seqlens.operators.temporal import add_temporal_features_split
+    return temporal_select(add_temporal_features_split(laps(spark, sf)))

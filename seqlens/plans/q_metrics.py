@@ -188,3 +188,29 @@ def q_select_best(spark, sf):
     b = M.select_best(M.compare_models(model_scores(spark, sf), THRESHOLD), 0.6)
     return b.select("model", r6("average_precision").alias("average_precision"),
                     r6("recall").alias("recall"), "reached_target")
+
+
+@register("q_unpivot_scores", with_laps(COMPARE_SQL + """
+SELECT model, metric, round(value, 6) AS value FROM cmp
+UNPIVOT (value FOR metric IN (average_precision, roc_auc, brier, precision, recall, f1))"""))
+def q_unpivot_scores(spark, sf):
+    """Wide comparison table -> long (model, metric, value); NULL metrics are dropped like SQL UNPIVOT."""
+    c = M.compare_models(model_scores(spark, sf), THRESHOLD)
+    long = c.unpivot("model", ["average_precision", "roc_auc", "brier", "precision", "recall", "f1"],
+                     "metric", "value")
+    return long.where(F.col("value").isNotNull()).select("model", "metric", r6("value").alias("value"))
+
+
+@register("q_best_by_roc", with_laps(COMPARE_SQL + """
+, named AS (SELECT * FROM cmp WHERE model = 'best_model_not_listed')
+SELECT model, round(roc_auc, 6) AS roc_auc FROM (
+  SELECT model, roc_auc, 0 AS pri FROM named
+  UNION ALL SELECT model, roc_auc, 1 FROM cmp WHERE TRY_CAST(cast(roc_auc AS VARCHAR) AS DOUBLE) IS NOT NULL)
+ORDER BY pri, roc_auc DESC, model LIMIT 1"""))
+def q_best_by_roc(spark, sf):
+    """Named best model if listed, else the highest numeric ROC-AUC (non-numeric ignored)."""
+    c = M.compare_models(model_scores(spark, sf), THRESHOLD)
+    named = "best_model_not_listed"
+    cand = c.select("model", "roc_auc", F.when(F.col("model") == named, 0).otherwise(1).alias("pri")) \
+            .where((F.col("pri") == 0) | F.col("roc_auc").cast("string").try_cast("double").isNotNull())
+    return cand.orderBy("pri", F.desc("roc_auc"), "model").limit(1).select("model", r6("roc_auc").alias("roc_auc"))

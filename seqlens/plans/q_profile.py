@@ -123,3 +123,18 @@ def q_column_defaults(spark, sf):
      f"FROM (SELECT DISTINCT cast({c} AS VARCHAR) AS v FROM laps WHERE {c} IS NOT NULL)" for c in DEFAULT_TEXT])))
 def q_distinct_options(spark, sf):
     return P.distinct_options(laps(spark, sf), DEFAULT_TEXT)
+
+
+HEAD_COLS = ["yr", "race", "driver", "lap", "stint", "next_stint", "pit_stop", "pit_next_lap", "will_pit"]
+
+
+@register("q_head", with_laps(f"""
+SELECT {", ".join(HEAD_COLS)} FROM laps ORDER BY yr, race, driver, lap LIMIT 12"""))
+def q_head(spark, sf):
+    return P.head(laps(spark, sf), ["yr", "race", "driver", "lap"], 12, HEAD_COLS)
+
+
+@register("q_tail", with_laps(f"""
+SELECT {", ".join(HEAD_COLS)} FROM laps ORDER BY yr DESC, race DESC, driver DESC, lap DESC LIMIT 5"""))
+def q_tail(spark, sf):
+    return P.tail(laps(spark, sf), ["yr", "race", "driver", "lap"], 5, HEAD_COLS)
