@@ -85,3 +85,16 @@ def test_one_exchange_one_window(synthetic):
 def test_missing_columns_raise(synthetic):
     with pytest.raises(ValueError):
         add_temporal_features(synthetic.drop("compound"))
+
+
+def test_split_form_equals_window_form(spark, synthetic):
+    from seqlens.operators.temporal import add_temporal_features_split
+    from seqlens.sources.testdata import laps
+    from tests.conftest import SF001
+    names = temporal_feature_names()
+    for df in (synthetic, laps(spark, SF001)):
+        a = add_temporal_features(df).select("driver", "race", "yr", "lap", *[F.round(c, 9).alias(c) for c in names])
+        b = add_temporal_features_split(df).select("driver", "race", "yr", "lap",
+                                                   *[F.round(c, 9).alias(c) for c in names])
+        assert a.count() == b.count()
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
