@@ -65,3 +65,27 @@ def test_event_window_rate_batch(spark):
     ev = read_table(spark, SF001, "events")
     r = events_window_rate(ev)
     assert r.agg(F.sum("events")).first()[0] == ev.count()
+
+
+class _ConstModel:
+    """Stand-in scorer: probability from the lap-time lag (deterministic)."""
+
+    def predict_proba(self, df, col):
+        return df.withColumn(col, F.least(F.col("lap_time_lag1") / 200.0, F.lit(1.0)))
+
+
+def test_alert_stream_writes_labels(spark):
+    from seqlens.streaming.features import score_stream
+    base = laps(spark, SF001).where(F.col("race") == "Brand#11")
+    root = tempfile.mkdtemp(prefix="seqlens-alert-")
+    src = os.path.join(root, "src")
+    base.write.parquet(src)
+    feats = temporal_features_stream(spark.readStream.schema(base.schema).parquet(src))
+    sink = os.path.join(root, "alerts")
+    q = score_stream(feats, _ConstModel(), 0.5, sink, os.path.join(root, "ckpt")) \
+        .trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    out = spark.read.parquet(sink)
+    assert out.count() == base.count()
+    assert set(out.columns) >= {"p", "prediction", "label", "confidence", "reason"}
+    assert out.where((F.col("p") >= 0.5) != (F.col("prediction") == 1)).count() == 0
