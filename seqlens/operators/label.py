@@ -144,3 +144,16 @@ def label_comparison(df: DataFrame, a: str, b: str) -> DataFrame:
         F.struct(F.lit("missing").alias("metric"), F.col("ma").cast("double").alias(a),
                  F.col("mb").cast("double").alias(b)))
     return s.select(F.inline(rows))
+
+
+def rebuild_label_split(df: DataFrame, spec: SequenceSpec = LAPS, name: str = "label_rebuilt") -> DataFrame:
+    """Skew-safe :func:`rebuild_label`: next row found by an equi-join on
+    (sequence keys, row index + 1), so a very long sequence is spread over
+    the join's partitions instead of one window task."""
+    from seqlens.operators.temporal import dense_index
+    idx = dense_index(df, spec)
+    nxt = idx.select(*spec.keys, (F.col("_idx") - 1).alias("_idx"), F.col(spec.stint).alias("_next"))
+    j = idx.join(nxt, [*spec.keys, "_idx"], "left")
+    return (j.withColumn(name, F.coalesce((F.col("_next") > F.col(spec.stint)).cast("int"), F.lit(0)))
+             .withColumn("is_final", F.col("_next").isNull())
+             .select(*df.columns, name, "is_final"))

@@ -168,3 +168,13 @@ def q_temporal_features_split(spark, sf):
     """Skew-safe twin of q_temporal_features (row index + bounded fan-out)."""
     from seqlens.operators.temporal import add_temporal_features_split
     return temporal_select(add_temporal_features_split(laps(spark, sf)))
+
+
+@register("q_label_rebuild_split", with_laps("""
+SELECT driver, race, yr, lap,
+       cast(coalesce(cast(lead(stint) OVER w > stint AS INT), 0) AS INT) AS label_rebuilt,
+       lead(stint) OVER w IS NULL AS is_final
+FROM laps WINDOW w AS (PARTITION BY driver, race, yr ORDER BY lap)"""))
+def q_label_rebuild_split(spark, sf):
+    """Skew-safe twin of q_label_rebuild (row index + equi-join)."""
+    return L.rebuild_label_split(laps(spark, sf)).select(*KEYS, "label_rebuilt", "is_final")
