@@ -5,18 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seqlens.llm.base import documents
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlens.llm.runindex import remove_repeats
+    return remove_repeats(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"),
+        F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlens.llm.neardup import near_duplicates
     return near_duplicates(documents(spark, sf_dir), words=4)
 
 
-QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op10_minhash_neardup,)}
+QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
+    op6_suffix_array_dedup, op10_minhash_neardup)}
 ORACLES: dict[str, str] = {}
 
 
