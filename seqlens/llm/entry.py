@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqlens.llm import quality
 from seqlens.llm.base import documents
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlens.llm.quality import quality_rules
+    return quality_rules(documents(spark, sf_dir))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlens.llm.runindex import remove_repeats
     return remove_repeats(documents(spark, sf_dir).select("doc_id", "text")).select(
@@ -25,8 +31,8 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op6_suffix_array_dedup, op10_minhash_neardup)}
-ORACLES: dict[str, str] = {}
+    op2_quality_rules, op6_suffix_array_dedup, op10_minhash_neardup)}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality.SQL}
 
 
 def queries() -> dict[str, QueryFn]:
