@@ -13,6 +13,11 @@ from seqlens.llm.base import documents
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlens.llm.sharding import kd_shards
+    return kd_shards(documents(spark, sf_dir), ["lang", "source", "n_chars", "doc_id"], shards=16)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlens.llm.quality import quality_rules
     return quality_rules(documents(spark, sf_dir))
@@ -31,7 +36,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op2_quality_rules, op6_suffix_array_dedup, op10_minhash_neardup)}
+    op1_kd_shards, op2_quality_rules, op6_suffix_array_dedup, op10_minhash_neardup)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.SQL}
 
 
