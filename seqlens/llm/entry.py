@@ -23,6 +23,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlens.llm.packing import pack
+    return pack(documents(spark, sf_dir), with_ids=False)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlens.llm.runindex import remove_repeats
     return remove_repeats(documents(spark, sf_dir).select("doc_id", "text")).select(
@@ -30,13 +35,19 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
+def op7_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlens.llm.orcids import ids_through_files
+    return ids_through_files(documents(spark, sf_dir))
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlens.llm.neardup import near_duplicates
     return near_duplicates(documents(spark, sf_dir), words=4)
 
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op1_kd_shards, op2_quality_rules, op6_suffix_array_dedup, op10_minhash_neardup)}
+    op1_kd_shards, op2_quality_rules, op3_packing, op6_suffix_array_dedup, op7_orc_token_ids,
+    op10_minhash_neardup)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.SQL}
 
 
