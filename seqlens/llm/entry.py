@@ -40,6 +40,11 @@ def op7_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_through_files(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlens.llm.toxicity import score_toxicity
+    return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlens.llm.neardup import near_duplicates
     return near_duplicates(documents(spark, sf_dir), words=4)
@@ -47,7 +52,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_kd_shards, op2_quality_rules, op3_packing, op6_suffix_array_dedup, op7_orc_token_ids,
-    op10_minhash_neardup)}
+    op9_toxicity, op10_minhash_neardup)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.SQL}
 
 
