@@ -37,7 +37,7 @@ FEATURES = 2_000       # mined features kept at most
 VOTERS = 200           # of these, the ones that vote
 MIN_SUPPORT = 6        # labelled rows a feature must be found in
 MIN_Z = 4.5            # standard errors between its rates in toxic and clean rows
-ANNOTATOR = 0.97       # accuracy assumed of a label
+ANNOTATOR = 0.995      # accuracy assumed of a label
 
 # Fixed word lists: common insults
 LEXICON = {
