@@ -72,6 +72,10 @@ def base_rules(text: Column) -> Column:
     return let(words_of(text), of)
 
 
+def _failed(r) -> Column:
+    return (r["n_words"] < MIN_WORDS) | (100 * r["n_repeat_words"] > REPEAT_PERCENT * r["n_words"])
+
+
 def host_verdicts(rules: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
     """``(host, docs, failures, shrunk_rate, rejected)`` from rows ``(host, base_failed)``.
 
@@ -104,7 +108,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rules = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"),
                         base_rules(F.col(f"`{text_col}`").cast("string")).alias("r")).select("doc_id", "host", "r.*")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    failed = _failed({c: F.col(c) for c in ("n_words", "n_repeat_words")})
     rules = settle(rules.withColumn("base_failed", failed))
     hosts = settle(host_verdicts(rules, host_rate)).withColumnRenamed("host", "h2")
     if hosts.count() <= BROADCAST_HOSTS:
@@ -119,11 +123,23 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                       F.round("shrunk_rate", 6).alias("host_shrunk_rate"))
 
 
-def keep_quality(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``quality_rules`` keeps (rows with a null id are judged together:
-    they stay only if all of them are kept)."""
-    bad = quality_rules(docs, id_col, **kw).where("NOT kept").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, same(F.col(f"`{id_col}`"), F.col("_bad")), "left_anti")
+def keep_quality(docs: DataFrame, text_col: str = "text", host_col: str = "source",
+                 host_rate: float = HOST_RATE) -> DataFrame:
+    """The rows of ``docs``, all columns, that pass the base rules and whose host isn't rejected.
+
+    The texts are read twice (for the hosts' counts, then to filter), so they
+    are never shuffled; only rejected hosts are joined.
+    """
+    host, text = F.col(f"`{host_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
+    failed = let(base_rules(text), _failed)
+    hosts = host_verdicts(docs.select(host.alias("host"), failed.alias("base_failed")), host_rate)
+    bad = settle(hosts.where("rejected").select(F.col("host").alias("_host")))
+    passed = docs.where(~failed)
+    if bad.count() <= BROADCAST_HOSTS:
+        return passed.join(F.broadcast(bad), same(host, F.col("_host")), "left_anti")
+    salted = bad.withColumn("_z", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salt = F.pmod(F.xxhash64(text), F.lit(SALT)).cast("int")
+    return passed.join(salted, same(host, F.col("_host")) & (salt == F.col("_z")), "left_anti")
 
 
 #: the query's SQL twin

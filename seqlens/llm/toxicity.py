@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -265,10 +266,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is below ``threshold``.
+    """The rows of ``docs``, all columns, whose score is below ``threshold``; one pass, each row judged by itself."""
+    model = train(docs, labels, id_col, text_col)
+    names, bias, at = list(model.weights), model.intercept, docs.columns.index(text_col)
+    numbers, w = {f: i for i, f in enumerate(names)}, np.array([model.weights[f] for f in names] or [0.0])
 
-    Rows with a null id are judged together: they stay if none of them is rejected.
-    """
-    bad = score_toxicity(docs, labels, id_col, text_col, threshold).where("predicted = 1").select(
-        F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("_bad")), "left_anti")
+    def run(batches):
+        known = Known(numbers)
+        for batch in batches:
+            z = [bias + float(w[known.of(text_of(t.as_py()))].sum()) for t in batch.column(at)]
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(np.array(z), -40, 40))) < threshold))
+    raw = docs.select(*[F.col(f"`{c}`").cast("binary").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    out = raw.mapInArrow(run, raw.schema)
+    return out.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

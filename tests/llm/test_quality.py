@@ -55,6 +55,8 @@ def test_salted_join_gives_the_same(spark, monkeypatch):
     want = sorted(map(str, Q.quality_rules(df).collect()))
     monkeypatch.setattr(Q, "BROADCAST_HOSTS", 0)
     assert sorted(map(str, Q.quality_rules(df).collect())) == want
+    kept = sorted(str(r) for r in want if "kept=True" in r)
+    assert Q.keep_quality(df).count() == len(kept)
 
 
 def test_empty(spark):
