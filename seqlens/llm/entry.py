@@ -28,6 +28,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), with_ids=False)
 
 
+def op4_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlens.llm.pieces import nbest_segmentations
+    return nbest_segmentations(documents(spark, sf_dir), n=4, with_ids=False)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlens.llm.runindex import remove_repeats
     return remove_repeats(documents(spark, sf_dir).select("doc_id", "text")).select(
@@ -51,7 +56,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op1_kd_shards, op2_quality_rules, op3_packing, op6_suffix_array_dedup, op7_orc_token_ids,
+    op1_kd_shards, op2_quality_rules, op3_packing, op4_sentencepiece_nbest, op6_suffix_array_dedup, op7_orc_token_ids,
     op9_toxicity, op10_minhash_neardup)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.SQL}
 
