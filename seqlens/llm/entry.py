@@ -33,6 +33,14 @@ def op4_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest_segmentations(documents(spark, sf_dir), n=4, with_ids=False)
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlens.llm.paragraphs import remove_repeated_paragraphs
+    return remove_repeated_paragraphs(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"),
+        F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"),
+        F.col("_n_repeated").alias("n_repeated"))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlens.llm.runindex import remove_repeats
     return remove_repeats(documents(spark, sf_dir).select("doc_id", "text")).select(
@@ -56,7 +64,8 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op1_kd_shards, op2_quality_rules, op3_packing, op4_sentencepiece_nbest, op6_suffix_array_dedup, op7_orc_token_ids,
+    op1_kd_shards, op2_quality_rules, op3_packing, op4_sentencepiece_nbest,
+    op5_paragraph_dedup, op6_suffix_array_dedup, op7_orc_token_ids,
     op9_toxicity, op10_minhash_neardup)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.SQL}
 
