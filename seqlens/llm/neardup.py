@@ -14,10 +14,12 @@ Candidates are confirmed on the full shingle sets and linked:
    are formed from the colliding small hashes only;
 3. in each bucket every class is compared with the smallest one, and the
    confirmed links give components;
-4. buckets that still hold several components have those classes compared
-   that lie in different components.  No link between classes that share a
-   bucket can be lost, and a large bucket of copies costs one comparison per
-   class, not one per pair.
+4. in buckets that still hold several components, classes of different
+   components are compared if they share a rare shingle (found in at most
+   ``RARE`` of these classes), or if both have so many that aren't rare that
+   these alone could make the link.  Both are necessary conditions, so no link
+   between classes that share a bucket is lost, while a large group of copies
+   at mixed distances costs far less than its pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from seqlens.llm.base import narrow, same, settle
 from seqlens.llm.components import connected_components
 from seqlens.llm.shingles import WordHashes, coefficients, minhashes, mix, shingle_set, word_hashes
 
+RARE = 8            # a shingle in so many unresolved classes or fewer names its pairs directly
+BROADCAST_IDS = 300_000
 FLUSH = 1_000_000  # shingles handled at once in a task
 
 
@@ -100,6 +104,54 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.where((100 + percent) * both >= percent * (F.size("sa") + F.size("sb")).cast("long")).select("a", "b")
 
 
+def _mixed(mem: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component."""
+    keys = mem.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return mem.join(keys, "key", "left_semi")
+
+
+def fits(x, y, percent: int):
+    """Sizes of two sets that can reach the similarity."""
+    return (100 + percent) * F.least(x, y) >= percent * (x + y)
+
+
+def cross_pairs(cand: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, detail: DataFrame | None = None,
+                first_bucket=None) -> DataFrame:
+    """Pairs (a, b) of classes in one bucket but different components that may still link.
+
+    ``cand``: (key, c, n, ...), ``roots``: (node, root), ``sets``: (c, s).  A
+    link needs a common shingle that is rare among these classes, or enough
+    common ones; pairs that meet neither are left out, which loses no link.
+    ``first_bucket`` (on the columns of ``cand`` and ``detail``, those of the
+    other class prefixed ``l_``) tells the one bucket that names a pair.
+    """
+    mem = cand.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    mem = settle(_mixed(mem))
+    words_in = sets.join(mem.select("c", "n", "root").distinct(), "c").select("c", "n", "root", F.explode("s").alias("x"))
+    found = words_in.groupBy("x").agg(F.count(F.lit(1)).alias("k"), (F.min("root") != F.max("root")).alias("across"))
+    rare = (F.col("k") <= RARE) & F.col("across")
+    held = settle(words_in.join(found.where("k > 1"), "x").groupBy("c", "n", "root").agg(
+        F.count_if(F.col("k") > RARE).alias("f"), F.collect_list(F.when(rare, F.col("x"))).alias("rare")))
+    left = held.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.explode("rare").alias("x"))
+    right = held.select("c", "n", "root", F.explode("rare").alias("x"))
+    by_rare = (left.join(right, "x").where((F.col("root") != F.col("ra")) & (F.col("a") < F.col("c")))
+               .where(fits(F.col("n"), F.col("na"), percent)).select("a", F.col("c").alias("b")).distinct())
+
+    held = held.where(100 * F.col("f") >= percent * F.col("n")).select("c", "f")
+    mem = mem.join(held if detail is None else held.join(detail, "c"), "c")
+    mem = settle(_mixed(mem))
+    big = (mem.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("key")
+           .agg(F.max_by("root", F.struct("k", "root")).alias("main")))
+    rest = mem.join(big, "key").where("root <> main").select(
+        "key", "main", *[F.col(x).alias(f"l_{x}") for x in mem.columns if x != "key"])
+    by_key = (rest.join(mem, "key").where("root <> l_root AND (root = main OR l_c < c)")
+              .where(fits(F.col("n"), F.col("l_n"), percent))
+              .where((100 + percent) * F.least("f", "l_f") >= percent * (F.col("n") + F.col("l_n"))))
+    if first_bucket is not None:
+        by_key = by_key.where(first_bucket)
+    return by_rare.unionAll(by_key.select(F.least("l_c", "c").alias("a"), F.greatest("l_c", "c").alias("b"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                     similarity: float = 0.8, m: int = 10, r: int = 2, seed: int = 7) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per input row.
@@ -129,37 +181,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = (flat.join(shared, ["p", "h"], "left_semi").groupBy("c", "n")
             .agg(F.collect_list(F.struct("p", "h")).alias("e")))  # at most 2m entries
     left, right = (F.filter("e", lambda x: x["p"] < m), F.filter("e", lambda x: x["p"] >= m))
-    keys = F.flatten(F.transform(left, lambda x: F.transform(
-        right, lambda y: F.xxhash64(x["p"], x["h"], y["p"], y["h"]))))
-    cand = rows.select("c", "n", F.explode(keys).alias("key"))
+    keys = F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: F.struct(
+        F.xxhash64(x["p"], x["h"], y["p"], y["h"]).alias("key"), x["p"].alias("p"), y["p"].alias("q")))))
+    cand = rows.select("c", "n", F.inline(keys))
     full = cand.groupBy("key").agg(F.min(F.struct("c", "n")).alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1")
     cand = settle(cand.join(full.select("key", "low"), "key"))
 
-    fits = lambda x, y: (100 + percent) * F.least(x, y) >= percent * (x + y)  # noqa: E731  length filter, exact
-    first = settle(cand.where((F.col("c") != F.col("low.c")) & fits(F.col("n"), F.col("low.n")))
+    first = settle(cand.where((F.col("c") != F.col("low.c")) & fits(F.col("n"), F.col("low.n"), percent))
                    .select(F.col("low.c").alias("a"), F.col("c").alias("b")).distinct())
 
     in_bucket = cand.select("c").distinct()
-    readers = classes.join(in_bucket, "c", "left_semi").select("id").distinct()
+    readers = settle(classes.join(in_bucket, "c", "left_semi").select("id").distinct())
+    if readers.count() <= BROADCAST_IDS:  # a few MB; else the texts are shuffled to the ids
+        readers = F.broadcast(readers)
     sets = settle(d.join(readers, same(d["id"], readers["id"]), "left_semi")
                   .mapInPandas(_set_maker(words), "n long, s1 long, s2 long, s array<long>")
                   .select(_class_key().alias("c"), "s").join(in_bucket, "c", "left_semi").dropDuplicates(["c"]))
     edges = settle(_confirm(first, sets, percent))
     roots = connected_components(edges)
 
-    # classes that share a bucket but not yet a component
-    mem = cand.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").select(
-        "key", "c", "n", F.coalesce("root", "c").alias("root"))
-    mixed = mem.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    mem = settle(mem.join(mixed.select("key"), "key", "left_semi"))
-    big = (mem.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("key")
-           .agg(F.max_by("root", F.struct("k", "root")).alias("main")))
-    rest = mem.join(big, "key").where("root <> main").select(
-        "key", F.col("c").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "main")
-    second = (rest.join(mem, "key").where(F.col("root") != F.col("ra"))
-              .where((F.col("root") == F.col("main")) | (F.col("a") < F.col("c")))
-              .where(fits(F.col("n"), F.col("na")))
-              .select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct())
+    met = lambda at, k: F.exists(F.zip_with(F.slice("small", at, k), F.slice("l_small", at, k), lambda x, y: x == y),
+                                 lambda x: x)
+    second = cross_pairs(cand.drop("low"), roots, sets, percent, classes.select("c", "small"),
+                         ~met(F.lit(1), F.col("p")) & ~met(F.lit(m + 1), F.col("q") - m))
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = edges.unionAll(_confirm(second.join(done, ["a", "b"], "left_anti"), sets, percent))
 

@@ -43,6 +43,13 @@ def corpus(n=260):
                 t[rnd.randrange(len(t))] = rnd.choice(vocab)
             rows.append((i, rnd.choice([" ", "\n"]).join(t).upper() if rnd.random() < .2 else " ".join(t)))
             i += 1
+    base = [rnd.choice(vocab) for _ in range(90)]  # a large group of copies at mixed distances from one text
+    for _ in range(150):
+        t = list(base)
+        for _ in range(rnd.randint(0, 9)):
+            t[rnd.randrange(len(t))] = rnd.choice(vocab)
+        rows.append((i, " ".join(t)))
+        i += 1
     rows += [(i, None), (i + 1, ""), (i + 2, " \t\n"), (i + 3, "one two"), (i + 4, "One  TWO"),
              (i + 5, "x " * 3000), (i + 6, "x " * 9000), (i + 7, "é" * 50)]
     rnd.shuffle(rows)
