@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlens.llm import quality
+from seqlens.llm import bm25, quality
 from seqlens.llm.base import documents
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,13 @@ def op7_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_through_files(documents(spark, sf_dir))
 
 
+def op8_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlens.llm.bm25 import bm25_top_k
+    docs = documents(spark, sf_dir)
+    found = bm25_top_k(docs, docs.where(F.col("doc_id") % 100 == 0), k=10)
+    return found.withColumn("score", F.round("score", 4))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlens.llm.toxicity import score_toxicity
     return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -66,8 +73,8 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_kd_shards, op2_quality_rules, op3_packing, op4_sentencepiece_nbest,
     op5_paragraph_dedup, op6_suffix_array_dedup, op7_orc_token_ids,
-    op9_toxicity, op10_minhash_neardup)}
-ORACLES: dict[str, str] = {"op2_quality_rules": quality.SQL}
+    op8_bm25_top_k, op9_toxicity, op10_minhash_neardup)}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality.SQL, "op8_bm25_top_k": bm25.SQL}
 
 
 def queries() -> dict[str, QueryFn]:
