@@ -1,5 +1,3 @@
-import math
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,20 +14,24 @@ def test_feature_names_are_17(spark):
 
 def test_hand_checked_values(synthetic):
     out = add_temporal_features(synthetic)
-    nor = rows(out, "NOR")
-    assert [r["lap_time_lag1"] for r in nor] == [0, 90, 91, 92]
-    assert [r["lap_time_lag2"] for r in nor] == [0, 0, 90, 91]
-    assert [r["lap_time_lag3"] for r in nor] == [0, 0, 0, 90]
-    assert [r["lap_time_rolling_mean_3"] for r in nor] == [0, 90, 90.5, 91]
-    assert [r["lap_time_diff_from_rolling_mean3"] for r in nor] == [0, 1, 1.5, 2]
-    assert [r["compound_changed_last_lap"] for r in nor] == [0, 0, 0, 1]
-    assert [r["lap_history_count"] for r in nor] == [0, 1, 2, 3]
-    std = [r["lap_time_rolling_std_3"] for r in nor]
-    assert std[0] == 0 and std[1] == 0 and math.isclose(std[2], 0.7071068, rel_tol=1e-6) and std[3] == 1.0
-    ver = rows(out, "VER")
-    assert ver[0]["lap_time_lag1"] == 0 and ver[0]["lap_history_count"] == 0
-    # group boundary: VER's first lap never sees NOR's laps
-    assert ver[1]["lap_time_lag1"] == 89.0
+    k = rows(out, "kestrel")
+    assert [r["lap_time_lag1"] for r in k] == [0, 70.5, 71.25, 0, 74]          # a null lag is filled with 0
+    assert [r["lap_time_lag2"] for r in k] == [0, 0, 70.5, 71.25, 0]
+    assert [r["lap_time_lag3"] for r in k] == [0, 0, 0, 70.5, 71.25]
+    assert [r["lap_time_rolling_mean_3"] for r in k] == [0, 70.5, 70.875, 70.875, 72.625]
+    assert [r["lap_time_diff_from_rolling_mean3"] for r in k] == [0, 0.75, 0, 3.125, 0.375]
+    assert [r["compound_changed_last_lap"] for r in k] == [0, 0, 1, 0, 1]      # null against B is a change
+    assert [r["lap_history_count"] for r in k] == [0, 1, 2, 3, 3]
+    std = [r["lap_time_rolling_std_3"] for r in k]
+    assert std[:2] == [0, 0]
+    assert std[2:] == pytest.approx([0.75 / 2 ** .5, 0.75 / 2 ** .5, 2.75 / 2 ** .5])
+    assert [r["position_lag1"] for r in k] == [0, 9, 9, 8, 10]
+    assert [r["position_change_lag1"] for r in k] == [0, 0, 0, -1, 2]
+    assert k[4]["cumulative_degradation_rolling_mean_3"] == pytest.approx((0.75 + 0.75 + 3.5) / 3)
+    p = rows(out, "plover")
+    assert p[0]["lap_time_lag1"] == 0 and p[0]["lap_history_count"] == 0
+    # sequence boundary: plover's first step never sees kestrel's
+    assert p[1]["lap_time_lag1"] == 64.0 and p[2]["lap_time_rolling_mean_3"] == 65.0
 
 
 def test_no_nulls_after_fill(synthetic):
@@ -41,36 +43,35 @@ def test_no_nulls_after_fill(synthetic):
 
 def test_causality_future_change_does_not_move_past(synthetic):
     base = add_temporal_features(synthetic)
-    changed = synthetic.withColumn("lap_time", F.when((F.col("driver") == "NOR") & (F.col("lap") == 3),
+    changed = synthetic.withColumn("lap_time", F.when((F.col("driver") == "kestrel") & (F.col("lap") == 3),
                                                       F.lit(500.0)).otherwise(F.col("lap_time")))
     alt = add_temporal_features(changed)
     names = temporal_feature_names()
-    a = {r["lap"]: r for r in rows(base, "NOR")}
-    b = {r["lap"]: r for r in rows(alt, "NOR")}
+    a = {r["lap"]: r for r in rows(base, "kestrel")}
+    b = {r["lap"]: r for r in rows(alt, "kestrel")}
     for lap in (1, 2):
         assert all(a[lap][n] == b[lap][n] for n in names)
 
 
 def test_null_value_inside_window(spark, synthetic):
-    d = synthetic.withColumn("lap_time", F.when((F.col("driver") == "NOR") & (F.col("lap") == 2), None)
+    d = synthetic.withColumn("lap_time", F.when((F.col("driver") == "kestrel") & (F.col("lap") == 2), None)
                              .otherwise(F.col("lap_time")))
-    nor = rows(add_temporal_features(d), "NOR")
+    k = rows(add_temporal_features(d), "kestrel")
     # mean over the non-null previous values, std needs two of them
-    assert nor[2]["lap_time_rolling_mean_3"] == 90.0
-    assert nor[2]["lap_time_rolling_std_3"] == 0.0
-    assert nor[3]["lap_time_rolling_mean_3"] == 91.0
+    assert [r["lap_time_rolling_mean_3"] for r in k] == [0, 70.5, 70.5, 70.5, 74.0]
+    assert [r["lap_time_rolling_std_3"] for r in k] == [0, 0, 0, 0, 0]
 
 
 def test_null_category_counts_as_change(spark, synthetic):
-    d = synthetic.withColumn("compound", F.when((F.col("driver") == "VER") & (F.col("lap") == 2), None)
+    d = synthetic.withColumn("compound", F.when((F.col("driver") == "plover") & (F.col("lap") == 2), None)
                              .otherwise(F.col("compound")))
-    ver = rows(add_temporal_features(d), "VER")
-    assert ver[1]["compound_changed_last_lap"] == 1      # None vs SOFT
-    assert ver[2]["compound_changed_last_lap"] == 0      # previous is NULL
+    p = rows(add_temporal_features(d), "plover")
+    assert p[1]["compound_changed_last_lap"] == 1      # null against C
+    assert p[2]["compound_changed_last_lap"] == 0      # previous is null
 
 
 def test_single_row_group_and_empty(spark, synthetic):
-    one = synthetic.where((F.col("driver") == "NOR") & (F.col("lap") == 4))
+    one = synthetic.where((F.col("driver") == "kestrel") & (F.col("lap") == 4))
     r = add_temporal_features(one).first()
     assert r["lap_history_count"] == 0 and r["lap_time_lag1"] == 0.0
     assert add_temporal_features(synthetic.limit(0)).count() == 0
