@@ -25,11 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlens.llm.tokens import ChunkIds, text_of, tokenizer_path
+from seqlens.llm.tokens import shared, tokenizer_path
 
 LENGTH = 4096
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 GROUP_TOKENS = 2_000_000
+SLICE = 1024             # documents encoded at a time
 END_ID = 2
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "ids binary")
@@ -83,7 +84,7 @@ def _packer(path: str, length: int, end_id: int, linear: float, quadratic: float
     end = np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pd.DataFrame]):
-        chunks = ChunkIds(path)
+        chunks = shared(path)
         base = TaskContext.get().partitionId() << 36  # sequences of a task: up to 2^36
         made = 0
 
@@ -101,13 +102,15 @@ def _packer(path: str, length: int, end_id: int, linear: float, quadratic: float
 
         docs, ids, held = [], [], 0
         for pdf in batches:
-            for i, t in zip(pdf["id"], pdf["text"]):
-                docs.append(i)
-                ids.append(chunks.encode(text_of(t)) + end)
-                held += len(ids[-1]) // 4
-                if held >= GROUP_TOKENS:
-                    yield pieces(docs, ids)
-                    docs, ids, held = [], [], 0
+            for at in range(0, len(pdf), SLICE):
+                part = pdf.iloc[at:at + SLICE]
+                for i, x in zip(part["id"], chunks.encode_many(part["text"])):
+                    docs.append(i)
+                    ids.append(x + end)
+                    held += len(x) // 4 + 1
+                    if held >= GROUP_TOKENS:
+                        yield pieces(docs, ids)
+                        docs, ids, held = [], [], 0
         if ids:
             yield pieces(docs, ids)
     return run

@@ -11,6 +11,8 @@ from seqlens.llm.tokens import ChunkIds, tokenizer_path
 TEXTS = ["", "one", " lead", "trail  ", "a  b\n\n c\t\td", "don't  stop　now\x85x\xa0y", "é́ ΑΣ ΑΣ. Σ", "x" * 5000,
          "<|endoftext|> <|startoftext|>hi", "\n\n\n", " \n \t ", "日本 語 12345 67", "a\x1cb \x1f c​d", "tab\t word",
          "word " * 20000, "!!! ??? '' 's 're", " para  x y", "\x00 nul", "﻿bom é"]
+TEXTS += ["\u0130stanbul \u0130. \u01c5 \ufb01 x\u00b2 \u00bd. a\u00b7b", "Word word, WORD; na\u00efve. Stra\u00dfe! \u6771\u4eac. \u0661\u0662\u0663, x.",
+          "it's. can't, 'Tis; y'all'd.", "\u0930\u093e\u092e, \u0e44\u0e17\u0e22. e\u0301. ok"]
 DOCS = [(i, t) for i, t in enumerate(TEXTS)] + [(None, None), (None, "no id"), (2, "again"), (1, "one")]
 
 
@@ -23,6 +25,14 @@ def test_chunks_equal_whole_texts(name):
         assert np.frombuffer(chunks.encode(x), np.uint32).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_broken_utf8_and_batches():
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    raw = [b"ok text", b"\xff broken \xc3", None, b"", "nbsp\u00a0x".encode(), b"tail\xe2\x80", b"word \xf0\x9f"] * 3
+    got = ChunkIds(tokenizer_path("byte_bpe_50k.json")).encode_many(raw)
+    for x, g in zip(raw, got):
+        assert np.frombuffer(g, np.uint32).tolist() == t.encode((x or b"").decode("utf-8", "replace"), add_special_tokens=False).ids
+
+
 def whole(name, end=2):
     t = Tokenizer.from_file(tokenizer_path(name))
     t.encode_special_tokens = True
