@@ -33,7 +33,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 4))
     names = [q for q in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if q]
     repeat = int(os.environ.get("BENCH_REPEAT", "1"))
-    spark = get_spark(f"local[{cpus}]", cpus, app="seqlens-bench")
+    spark = get_spark(f"local[{cpus}]", cpus, app="seqlens-bench", extra={"spark.driver.memory": "16g"})
     qs = queries()
     run(qs["q_rate_by_category"](spark, sf_dir))  # warm-up: JVM, codegen caches
     times = {}

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlens.functions.util import stats_row
+from seqlens.functions.util import join_small, stats_row
 from seqlens.operators.ranking import cumulative, quantile_wide
+from seqlens.session import cut_lineage
 
-ONE_HOT_MAX = 10
 UNKNOWN_CODE = -1
 
 
@@ -59,11 +59,8 @@ def apply_robust(df: DataFrame, stats: DataFrame, cols: list[str], suffix: str =
 # -- one-hot -------------------------------------------------------------------
 
 def fit_onehot(train: DataFrame, col: str) -> list[str]:
-    """Sorted categories of a low-cardinality column (checked <= ONE_HOT_MAX)."""
-    cats = train.where(F.col(col).isNotNull()).select(F.col(col).cast("string").alias("v")).distinct() \
-                .orderBy("v").limit(ONE_HOT_MAX + 1).collect()
-    if len(cats) > ONE_HOT_MAX:
-        raise ValueError(f"{col} has more than {ONE_HOT_MAX} categories; use target or ordinal encoding")
+    """Sorted categories of a low-cardinality column; each becomes a column, so their number is a schema's, not a table's."""
+    cats = train.where(F.col(col).isNotNull()).select(F.col(col).cast("string").alias("v")).distinct().orderBy("v").collect()
     return [r["v"] for r in cats]
 
 
@@ -88,7 +85,7 @@ def apply_ordinal(df: DataFrame, codes: DataFrame, cols: list[str], suffix: str
     out = df
     for c in cols:
         m = codes.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"{c}{suffix}"))
-        out = out.join(m, F.col(c).cast("string") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}") \
+        out = join_small(out, m, F.col(c).cast("string") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}") \
                  .withColumn(f"{c}{suffix}", F.coalesce(F.col(f"{c}{suffix}"), F.lit(UNKNOWN_CODE)))
     return out
 
@@ -128,7 +125,7 @@ def apply_target(df: DataFrame, enc: DataFrame, cols: list[str], prior: DataFram
     out = df
     for c in cols:
         m = enc.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("encoding").alias(f"{c}{suffix}"))
-        out = out.join(m, F.col(c).cast("string") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}") \
+        out = join_small(out, m, F.col(c).cast("string") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}") \
                  .withColumn(f"{c}{suffix}", F.coalesce(F.col(f"{c}{suffix}"), p))
     return out
 
@@ -137,29 +134,29 @@ def target_encode_oof(train: DataFrame, cols: list[str], target: str, fold: str,
     """Cross-fitted target encoding of training rows, by subtraction.
 
     For a row in fold k, the statistics come from all rows outside fold k:
-    category totals minus (category, fold) totals.  Two group-bys and two
-    joins per column; no loop over folds.  Binary target: var = m (1 - m).
+    category totals minus (category, fold) totals.  One grouped count over
+    (column, value, fold) serves all columns; its encodings are a map table
+    that is joined once for each column.  Binary target: var = m (1 - m).
     """
     y = F.col(target).cast("double")
-    base = train.withColumn("_y", y)
-    tot = base.agg(F.count(F.lit(1)).alias("N"), F.sum("_y").alias("S"))
-    tk = base.groupBy(fold).agg(F.count(F.lit(1)).alias("Nk"), F.sum("_y").alias("Sk"))
-    t = stats_row(tot)
-    glob = tk.select(fold, (t["N"] - F.col("Nk")).alias("_gn"), (t["S"] - F.col("Sk")).alias("_gs"))
-    out = base.join(glob, fold)
+    stack = train.select(F.col(fold).alias("_f"), y.alias("_y"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("_kv"))
+    part = cut_lineage(stack.groupBy("_f", "_kv.column", "_kv.value").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("s")))
+    folds = part.where(F.col("column") == cols[0]).groupBy("_f").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    glob = folds.agg(F.map_from_entries(F.collect_list(F.struct("_f", F.struct("n", "s")))).alias("of"),
+                     F.sum("n").alias("n"), F.sum("s").alias("s"))  # one entry a fold
+    g = stats_row(glob)
+    whole = part.groupBy("column", "value").agg(F.sum("n").alias("wn"), F.sum("s").alias("ws"))
+    all_n, all_s = g["n"] - g["of"][F.col("_f")]["n"], g["s"] - g["of"][F.col("_f")]["s"]
+    mean_all = all_s / all_n
+    n, s = F.col("wn") - F.coalesce(F.col("n"), F.lit(0)), F.col("ws") - F.coalesce(F.col("s"), F.lit(0.0))
+    enc = F.when(n > 0, _shrunk(n, s / n, (s / n) * (1 - s / n), mean_all, mean_all * (1 - mean_all))).otherwise(mean_all)
+    maps = cut_lineage(part.withColumnsRenamed({"column": "c2", "value": "v2"})
+                       .join(whole, (F.col("c2") == F.col("column")) & F.col("v2").eqNullSafe(F.col("value")))
+                       .select("column", "value", "_f", enc.alias("x")))
+    out = train
     for c in cols:
-        key = F.col(c).cast("string")
-        cat = base.groupBy(key.alias("_v")).agg(F.count(F.lit(1)).alias("_cn"), F.sum("_y").alias("_cs"))
-        catk = base.groupBy(key.alias("_v"), F.col(fold).alias("_f")).agg(
-            F.count(F.lit(1)).alias("_kn"), F.sum("_y").alias("_ks"))
-        j = out.join(cat, key == F.col("_v"), "left").drop("_v") \
-               .join(catk, (key == F.col("_v")) & (F.col(fold) == F.col("_f")), "left").drop("_v", "_f")
-        n = F.col("_cn") - F.coalesce(F.col("_kn"), F.lit(0))
-        s = F.col("_cs") - F.coalesce(F.col("_ks"), F.lit(0.0))
-        mean_all = F.col("_gs") / F.col("_gn")
-        var_all = mean_all * (1 - mean_all)
-        mean_c = s / n
-        var_c = mean_c * (1 - mean_c)
-        enc = F.when(n > 0, _shrunk(n, mean_c, var_c, mean_all, var_all)).otherwise(mean_all)
-        out = j.withColumn(f"{c}{suffix}", enc).drop("_cn", "_cs", "_kn", "_ks")
-    return out.drop("_gn", "_gs", "_y")
+        m = maps.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("_f"), F.col("x").alias(f"{c}{suffix}"))
+        out = join_small(out, m, F.col(c).cast("string").eqNullSafe(F.col("_v")) & (F.col(fold) == F.col("_f")), "left") \
+            .drop("_v", "_f")
+    return out

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlens.functions.util import stats_row
+from seqlens.functions.util import join_small, stats_row
 from seqlens.operators.ranking import cumulative
 
 EPS = 1e-12
@@ -37,7 +37,7 @@ def _curve(scores: DataFrame, by=None, y: str = "y", p: str = "p") -> DataFrame:
     # totals from the checkpointed range table: the score input is read once
     tot = cum.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     if by:
-        return cum.join(tot, by)
+        return join_small(cum, tot, by)
     s = stats_row(tot)
     return cum.select("*", s["_P"].alias("_P"), s["_N"].alias("_N"))
 
@@ -124,12 +124,35 @@ def recall_by_group(scores: DataFrame, group: str, y: str = "y", pred: str = "pr
 
 def compare_models(scores: DataFrame, threshold=0.5, model: str = "model",
                    y: str = "y", p: str = "p") -> DataFrame:
-    """All metrics per model in long-form scores; one row per model."""
-    ap = average_precision(scores, model, y, p)
-    auc = roc_auc(scores, model, y, p)
-    br = brier(scores, model, y, p)
-    tm = threshold_metrics(scores, threshold, model, y, p).select(model, "precision", "recall", "f1")
-    return ap.join(auc, model).join(br, model).join(tm, model)
+    """All metrics per model in long-form scores; one row per model.
+
+    ``threshold`` is a number or a column (each model's own).  The scores are
+    read once: per distinct score the classes are counted, with the flagged
+    rows of each class beside them; average precision and ROC-AUC come from
+    one running count over that table, the rest from plain sums.
+    """
+    t = F.lit(float(threshold)) if isinstance(threshold, (int, float)) else threshold
+    hit = (F.col(p) >= t).cast("long")
+    g = scores.where(F.col(p).isNotNull()).groupBy(model, F.col(p).alias("p")).agg(
+        F.sum(F.col(y).cast("long")).alias("pos"), F.sum((1 - F.col(y)).cast("long")).alias("neg"),
+        F.sum(hit * F.col(y)).alias("tp"), F.sum(hit * (1 - F.col(y))).alias("fp"))
+    c = cumulative(g, "p", ["pos", "neg"], by=[model], descending=True)
+    # pairs (positive, negative) ordered right: negatives scored below, half of those tied
+    above = F.col("cum_neg") - F.col("neg") / 2.0
+    a = c.groupBy(model).agg(
+        F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("_ap"),
+        F.sum(F.col("pos") * above).alias("_wrong"), F.sum("pos").alias("_P"), F.sum("neg").alias("_N"),
+        F.count(F.lit(1)).alias("_d"), F.sum("tp").alias("_tp"), F.sum("fp").alias("_fp"),
+        F.sum(F.col("pos") * F.pow(F.col("p") - 1, 2) + F.col("neg") * F.pow(F.col("p"), 2)).alias("_sq"))
+    two = (F.col("_P") > 0) & (F.col("_N") > 0) & (F.col("_d") > 1)
+    prec = F.when(F.col("_tp") + F.col("_fp") > 0, F.col("_tp") / (F.col("_tp") + F.col("_fp"))).otherwise(0.0)
+    rec = F.when(F.col("_P") > 0, F.col("_tp") / F.col("_P")).otherwise(0.0)
+    return a.select(model, F.when(F.col("_P") > 0, F.col("_ap") / F.col("_P")).alias("average_precision"),
+                    F.when(two, 1 - F.col("_wrong") / (F.col("_P") * F.col("_N"))).alias("roc_auc"),
+                    (F.col("_sq") / (F.col("_P") + F.col("_N"))).alias("brier"), prec.alias("precision"), rec.alias("recall")) \
+            .withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
+                                     2 * F.col("precision") * F.col("recall")
+                                     / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
 def select_best(cmp: DataFrame, target_recall: float = 0.60, model: str = "model") -> DataFrame:

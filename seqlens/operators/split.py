@@ -9,11 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlens.functions.util import stats_row
+from seqlens.functions.util import join_small, stats_row
 from seqlens.operators.ranking import cumulative
 
-GREEDY_MAX_GROUPS = 200_000
-
 
 def _hash_key(cols, seed) -> F.Column:
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols], F.lit(str(seed))))
@@ -24,7 +22,7 @@ def group_assignment(df: DataFrame, group: str, test_frac: float = 0.2, seed: in
     groups = df.where(F.col(group).isNotNull()).select(group).distinct() \
                .withColumn("_h", _hash_key([group], seed)).withColumn("_one", F.lit(1))
     ranked = cumulative(groups, "_h", ["_one"])
-    n = stats_row(groups.agg(F.count(F.lit(1)).alias("n")))["n"]
+    n = stats_row(ranked.agg(F.count(F.lit(1)).alias("n")))["n"]  # from the table just ranked, not from the rows again
     n_test = F.ceil(n * F.lit(float(test_frac)))
     return ranked.select(group, F.when(F.col("cum__one") <= n_test, "test").otherwise("train").alias("split"))
 
@@ -32,10 +30,10 @@ def group_assignment(df: DataFrame, group: str, test_frac: float = 0.2, seed: in
 def group_split(df: DataFrame, group: str, test_frac: float = 0.2, seed: int = 42) -> DataFrame:
     """Rows with a ``split`` column; whole groups go to one side.
 
-    The group map has one row per group; the join strategy is left to
-    AQE (broadcast when the map is small, shuffle otherwise).
+    The group map has one row per group; it is broadcast after a check of its
+    size, so no row is shuffled to its group.
     """
-    return df.join(group_assignment(df, group, test_frac, seed), group)
+    return join_small(df, group_assignment(df, group, test_frac, seed), group)
 
 
 def test_groups(assign: DataFrame, group: str) -> DataFrame:
@@ -56,28 +54,20 @@ def split_metadata(split_df: DataFrame, target: str) -> DataFrame:
                                          F.avg(target).alias("positive_rate"))
 
 
-def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """(group, fold): GroupKFold's greedy balance (largest group to the lightest fold).
+def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
+    """(group, fold): groups dealt to k folds in serpentine order of their size.
 
-    The input of the greedy pass is the group-size table (one row per group,
-    a bounded metadata table, ties broken by group name).  Above
-    ``GREEDY_MAX_GROUPS`` groups the balance is statistical anyway and the
-    fold is a seeded hash of the group.
+    Groups are ranked by size (largest first, ties by name) with the
+    distributed running count, and dealt 0..k-1, k-1..0, 0..k-1 and so on: one
+    rule at any number of groups, and nothing on the driver.  Two folds
+    differ by no more than the largest group.
     """
     sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    n_groups = sizes.count()
-    if n_groups > GREEDY_MAX_GROUPS:
-        return sizes.select(group, F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(k)).cast("int")
-                            .alias("fold"))
-    rows = sizes.orderBy(F.desc("n"), F.asc(group)).collect()
-    load = [0] * k
-    assign = []
-    for r in rows:
-        f = min(range(k), key=lambda i: (load[i], i))
-        load[f] += r["n"]
-        assign.append((r[group], f))
-    schema = f"{group} {dict(sizes.dtypes)[group]}, fold int"
-    return df.sparkSession.createDataFrame(assign, schema)
+    order = sizes.select(group, F.struct((-F.col("n")).alias("n"), F.col(group).alias("g")).alias("_o"), F.lit(1).alias("_one"))
+    i = (F.col("cum__one") - 1).cast("long")
+    turn, place = F.floor(i / k) % 2, (i % k).cast("int")
+    ranked = cumulative(order, "_o", ["_one"])
+    return ranked.select(group, F.when(turn == 0, place).otherwise(F.lit(k - 1) - place).cast("int").alias("fold"))
 
 
 def hash_fold(cols, k: int = 5, seed: int = 42) -> F.Column:

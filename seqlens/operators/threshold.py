@@ -29,6 +29,14 @@ def _pick(points: DataFrame, by: list[str], score, where=None) -> DataFrame:
     return best.where(F.col("_b").isNotNull()).select(*by, "_b._row.*")
 
 
+def _or_default(best: DataFrame, **extra) -> DataFrame:
+    """Without groups, an empty curve gives the defined row (0.5, 0, 0, 0)."""
+    none = best.sparkSession.range(1).select(F.lit(0.5).alias("threshold"), F.lit(0.0).alias("precision"),
+                                             F.lit(0.0).alias("recall"), F.lit(0.0).alias("f1"),
+                                             *[F.lit(v).alias(k) for k, v in extra.items()])
+    return best.unionByName(none.where(best.agg(F.count(F.lit(1))).scalar() == 0))
+
+
 def threshold_f1(points: DataFrame, by=None) -> DataFrame:
     """Threshold of maximum F1 (lowest threshold on ties).
 
@@ -38,7 +46,8 @@ def threshold_f1(points: DataFrame, by=None) -> DataFrame:
     """
     by = list(by or [])
     best = _pick(points.withColumn("f1", _f1(F.col("precision"), F.col("recall"))), by, F.col("f1"))
-    return best.select(*by, "threshold", "precision", "recall", "f1")
+    best = best.select(*by, "threshold", "precision", "recall", "f1")
+    return best if by else _or_default(best)
 
 
 def threshold_recall_target(points: DataFrame, target: float = TARGET_RECALL, by=None) -> DataFrame:
@@ -59,5 +68,6 @@ def threshold_recall_target(points: DataFrame, target: float = TARGET_RECALL, by
     else:
         # fallback only when no threshold reaches the target
         both = hit.unionByName(fall.where(hit.agg(F.count(F.lit(1))).scalar() == 0))
-    return both.select(*by, "threshold", "precision", "recall",
+    both = both.select(*by, "threshold", "precision", "recall",
                        _f1(F.col("precision"), F.col("recall")).alias("f1"), "policy")
+    return both if by else _or_default(both, policy="no_scores")

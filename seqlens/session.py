@@ -12,51 +12,58 @@ def get_spark(master: str | None = None, cpus: int | None = None,
               app: str = "seqlens", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE on and the UI off.
 
-    On a cluster ``master`` is left to spark-submit; locally the caller passes
-    ``local[N]``.  Shuffle partitions default to 2x cores locally; on a cluster
-    AQE coalesces the configured count down to what the data needs.
+    On a cluster ``master`` is left to spark-submit, and so are memory and the
+    number of shuffle partitions.  Only for a ``local[N]`` master the
+    partitions follow the cores of this machine.
     """
     b = SparkSession.builder.appName(app)
-    if master:
-        b = b.master(master)
-    n = cpus or os.cpu_count() or 8
     conf = {
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": str(max(8, 2 * n)),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.driver.memory": "16g",
         "spark.sql.ansi.enabled": "false",
     }
+    if master:
+        b = b.master(master)
+        if master.startswith("local"):
+            conf["spark.sql.shuffle.partitions"] = str(max(8, 2 * (cpus or os.cpu_count() or 8)))
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it; only when it is unset (tests, local runs) a fresh
-    scratch folder is created and registered.
+    The cluster names it.  Only a local master, where driver and executors are
+    one process, gets a scratch folder when the setting is unset; elsewhere
+    that would be a folder other machines can't see, so it is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    now = sc.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or now
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         d = tempfile.mkdtemp(prefix="seqlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if now is None or not now.rstrip("/").startswith(_as_uri(d)):
+        sc.setCheckpointDir(d)
     return d
 
 
+def _as_uri(d: str) -> str:
+    d = d.rstrip("/")
+    return d if ":" in d.split("/")[0] else f"file:{d}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint to the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

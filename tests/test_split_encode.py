@@ -27,17 +27,13 @@ def test_group_split_disjoint_and_sized(lap_df):
     assert listed == actual
 
 
-def test_group_folds_greedy_balance(lap_df):
-    folds = S.group_folds(lap_df, "race", 5)
+def test_group_folds_serpentine_balance(lap_df):
     sizes = {r["race"]: r["n"] for r in lap_df.groupBy("race").agg(F.count(F.lit(1)).alias("n")).collect()}
-    load = [0] * 5
-    for g, n in sorted(sizes.items(), key=lambda t: (-t[1], t[0])):
-        f = min(range(5), key=lambda i: (load[i], i))
-        load[f] += n
-    got = [0] * 5
-    for r in folds.collect():
-        got[r["fold"]] += sizes[r["race"]]
-    assert got == load
+    folds = {r["race"]: r["fold"] for r in S.group_folds(lap_df, "race", 5).collect()}
+    order = sorted(sizes, key=lambda g: (-sizes[g], g))
+    assert folds == {g: (i % 5 if i // 5 % 2 == 0 else 4 - i % 5) for i, g in enumerate(order)}
+    load = [sum(n for g, n in sizes.items() if folds[g] == f) for f in range(5)]
+    assert max(load) - min(load) <= max(sizes.values())
 
 
 def test_hash_sample_exact_size(lap_df):
