@@ -1,18 +1,20 @@
 """Streaming sequence features and event-time window rates.
 
 ``temporal_features_stream`` keeps, per sequence key, the last three rows in
-keyed state (``applyInPandasWithState``) and emits the same 17 features as
-the batch operator for every new row.  Rows whose step is not after the
-last step seen for their key are emitted with ``late = true`` and leave the
-state unchanged.  State is per key, so it is spread over the cluster with
-the key hash like any aggregation, and checkpointed with the query.
+typed keyed state (``applyInPandasWithState``) and emits the features of the
+batch operator for every new row.  A row whose step isn't after the last step
+seen for its key comes too late: the state holds only later rows, so it is
+emitted with ``late = true`` and NULL features, and leaves the state alone.
+State that no row has touched for ``ttl`` is dropped; with an event-time column
+the watermark decides.  State is spread over the cluster by the key hash and
+checkpointed with the query.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,100 +25,100 @@ from seqlens.operators.temporal import temporal_feature_names
 from seqlens.spec import LAPS, SequenceSpec
 
 KEEP = 3
-_STATE_FIELDS = ["step", "value", "delta", "degradation", "position", "position_change", "category", "seen"]
-
-
-def _state_schema() -> T.StructType:
-    return T.StructType([T.StructField("rows_json", T.StringType()), T.StructField("seen", T.LongType())])
-
-
-def _mean(xs):
-    v = [x for x in xs if x is not None and not (isinstance(x, float) and math.isnan(x))]
-    return sum(v) / len(v) if v else None
-
-
-def _std(xs):
-    v = [x for x in xs if x is not None and not (isinstance(x, float) and math.isnan(x))]
-    if len(v) < 2:
-        return None
-    m = sum(v) / len(v)
-    return math.sqrt(sum((x - m) ** 2 for x in v) / (len(v) - 1))
-
-
-def _features(hist: list[dict], row: dict, seen: int) -> dict:
-    """The 17 features of ``row`` from up to three previous rows (oldest first)."""
-    prev = list(reversed(hist))  # most recent first
-
-    def lag(field, k):
-        return prev[k - 1][field] if len(prev) >= k else None
-
-    def z(x):
-        return 0.0 if x is None or (isinstance(x, float) and math.isnan(x)) else float(x)
-
-    last3 = prev[:KEEP]
-    m_v = _mean([r["value"] for r in last3])
-    prev_cat = lag("category", 1)
-    cur_cat = row["category"] if row["category"] is not None else "nan"
-    return {
-        "v_lag1": z(lag("value", 1)), "v_lag2": z(lag("value", 2)), "v_lag3": z(lag("value", 3)),
-        "d_lag1": z(lag("delta", 1)), "d_lag2": z(lag("delta", 2)), "d_lag3": z(lag("delta", 3)),
-        "v_mean": z(m_v), "v_std": z(_std([r["value"] for r in last3])),
-        "d_mean": z(_mean([r["delta"] for r in last3])), "d_std": z(_std([r["delta"] for r in last3])),
-        "g_mean": z(_mean([r["degradation"] for r in last3])),
-        "p_lag1": z(lag("position", 1)), "p_mean": z(_mean([r["position"] for r in last3])),
-        "pc_lag1": z(lag("position_change", 1)),
-        "diff": z(None if m_v is None or row["value"] is None else row["value"] - m_v),
-        "changed": int(prev_cat is not None and len(prev) > 0 and str(cur_cat) != str(prev_cat)),
-        "history": min(seen, KEEP),
-    }
-
-
-def temporal_features_stream(sdf: DataFrame, spec: SequenceSpec = LAPS) -> DataFrame:
-    """Streaming twin of :func:`seqlens.operators.temporal.add_temporal_features`."""
-    import json
-
+_NUMBERS = ["value", "delta", "degradation", "position", "position_change"]
+_STATE = ("step array<int>, " + ", ".join(f"{c} array<double>" for c in _NUMBERS) + ", category array<string>, seen long")
+
+
+def _features(rows: pd.DataFrame, seen: np.ndarray) -> list:
+    """Feature columns of ``rows`` (one sequence, in step order), in the batch operator's order."""
+    def lags(c):
+        x = rows[c].astype("float64")
+        return np.stack([x.shift(k).to_numpy() for k in (1, 2, 3)])
+
+    def mean(x):
+        n = (~np.isnan(x)).sum(0)
+        return np.where(n > 0, np.nansum(x, 0) / np.maximum(n, 1), np.nan)
+
+    def std(x):
+        n = (~np.isnan(x)).sum(0)
+        d = np.nansum((x - mean(x)) ** 2, 0)
+        return np.where(n > 1, np.sqrt(d / np.maximum(n - 1, 1)), np.nan)
+
+    v, d, g, p, pc = (lags(c) for c in _NUMBERS)
+    before = rows["category"].shift(1)
+    changed = before.notna() & (rows["category"].fillna("nan") != before)
+    out = [*v, *d, mean(v), std(v), mean(d), std(d), mean(g), p[0], mean(p), pc[0],
+           rows["value"].astype("float64").to_numpy() - mean(v)]
+    return [np.nan_to_num(x, nan=0.0) for x in out] + [changed.astype(int).to_numpy(), np.minimum(seen, KEEP)]
+
+
+def temporal_features_stream(sdf: DataFrame, spec: SequenceSpec = LAPS, ttl: str | None = None,
+                             event_time: str | None = None) -> DataFrame:
+    """Streaming twin of :func:`seqlens.operators.temporal.add_temporal_features`.
+
+    With ``event_time``, a timestamp column, rows older than the watermark of
+    ``ttl`` are dropped by Spark and a key's state ends ``ttl`` after its
+    newest row.  With ``ttl`` alone it ends that long after it was last
+    processed (for triggers that go on: under ``availableNow`` Spark would wait
+    for these timeouts).  Without either, state stays.
+    """
     names = temporal_feature_names(spec)
-    key_fields = [sdf.schema[k] for k in spec.keys]
-    out_schema = T.StructType(key_fields + [T.StructField(spec.step, T.IntegerType()),
-                                            T.StructField("late", T.BooleanType())]
+    out_schema = T.StructType([sdf.schema[k] for k in spec.keys] + [T.StructField(spec.step, T.IntegerType()),
+                                                                    T.StructField("late", T.BooleanType())]
                               + [T.StructField(n, T.IntegerType() if n.endswith("_changed_last_lap")
                                                or n == "lap_history_count" else T.DoubleType()) for n in names])
-    order = ["v_lag1", "v_lag2", "v_lag3", "d_lag1", "d_lag2", "d_lag3", "v_mean", "v_std", "d_mean", "d_std",
-             "g_mean", "p_lag1", "p_mean", "pc_lag1", "diff", "changed", "history"]
-    src = sdf.select(*spec.keys, F.col(spec.step).cast("int").alias("step"),
-                     F.col(spec.value).cast("double").alias("value"),
-                     F.col(spec.delta).cast("double").alias("delta"),
-                     F.col(spec.degradation).cast("double").alias("degradation"),
-                     F.col(spec.position).cast("double").alias("position"),
-                     F.col(spec.position_change).cast("double").alias("position_change"),
-                     F.col(spec.category).cast("string").alias("category"))
+    if event_time and not ttl:
+        raise ValueError("event_time needs a ttl")
+    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else 0
+    cols = [*spec.keys, F.col(spec.step).cast("int").alias("step"),
+            *[F.col(getattr(spec, c)).cast("double").alias(c) for c in _NUMBERS],
+            F.col(spec.category).cast("string").alias("category")]
+    if event_time:
+        sdf = sdf.withWatermark(event_time, ttl)
+        cols.append(F.col(event_time).alias("_ts"))
+    src = sdf.select(*cols)
+    fields = ["step", *_NUMBERS, "category"]
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            rows_json, seen = state.get
-            hist = json.loads(rows_json)
-        else:
-            hist, seen = [], 0
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get if state.exists else tuple([] for _ in fields) + (0,)
+        hist, seen = pd.DataFrame(dict(zip(fields, map(list, held[:-1])))), int(held[-1])
         parts = [p for p in pdfs if len(p)]
         if not parts:
             return
-        batch = pd.concat(parts).sort_values("step", kind="mergesort")
-        out = []
-        last_step = hist[-1]["step"] if hist else None
-        for rec in batch.to_dict("records"):
-            rec = {k: (None if isinstance(v, float) and math.isnan(v) else v) for k, v in rec.items()}
-            late = last_step is not None and rec["step"] <= last_step
-            f = _features(hist, rec, seen)
-            out.append(list(key) + [int(rec["step"]), bool(late)] + [f[o] for o in order])
-            if not late:
-                hist = (hist + [{k: rec[k] for k in _STATE_FIELDS if k in rec}])[-KEEP:]
-                seen += 1
-                last_step = rec["step"]
-        state.update((json.dumps(hist), int(seen)))
-        yield pd.DataFrame(out, columns=[*spec.keys, spec.step, "late", *names])
-
-    return src.groupBy(*spec.keys).applyInPandasWithState(
-        fn, out_schema, _state_schema(), "append", GroupStateTimeout.NoTimeout)
+        batch = pd.concat(parts).sort_values("step", kind="mergesort").reset_index(drop=True)
+        last = hist["step"].iloc[-1] if len(hist) else None
+        late = batch["step"].duplicated()
+        if last is not None:
+            late |= batch["step"] <= last
+        fresh = batch[~late]
+        rows = pd.concat([hist, fresh[fields]], ignore_index=True) if len(hist) else fresh[fields].reset_index(drop=True)
+        feats = [x[len(hist):] for x in _features(rows, seen - len(hist) + np.arange(len(rows)))]
+        done = pd.DataFrame(dict(zip(names, feats)))
+        done.insert(0, spec.step, fresh["step"].to_numpy())
+        done.insert(1, "late", False)
+        old = pd.DataFrame({spec.step: batch["step"][late], "late": True})
+        out = pd.concat([done, old], ignore_index=True) if len(old) else done
+        for n in names[-2:]:
+            out[n] = out[n].astype("Int32")
+        for i, k in enumerate(spec.keys):
+            out.insert(i, k, key[i])
+        if len(fresh):
+            tail = rows.tail(KEEP)
+            none = lambda c: [None if pd.isna(x) else x for x in tail[c]]
+            state.update(([int(x) for x in tail["step"]], *[none(c) for c in _NUMBERS], none("category"), seen + len(fresh)))
+        if event_time:
+            newest = int(batch["_ts"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + ttl_ms)
+        elif ttl:
+            state.setTimeoutDuration(ttl_ms)
+        yield out
+
+    timeout = (GroupStateTimeout.EventTimeTimeout if event_time else
+               GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout)
+    return src.groupBy(*spec.keys).applyInPandasWithState(fn, out_schema, _STATE, "append", timeout)
 
 
 def events_window_rate(events: DataFrame, window: str = "1 day", watermark: str = "1 day") -> DataFrame:
@@ -126,20 +128,30 @@ def events_window_rate(events: DataFrame, window: str = "1 day", watermark: str
     alike; ``approx`` distinct is not needed because the window groups are
     per-day and users per day are bounded by the day's events.
     """
-    src = events.withWatermark("ts", watermark) if events.isStreaming else events
+    kind = events.schema["ts"].dataType
+    src = events
+    if events.isStreaming:  # a watermark needs a timestamp with time zone
+        src = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     g = src.groupBy(F.window("ts", window).alias("w"), "event_type").agg(
         F.count(F.lit(1)).cast("long").alias("events"), F.avg("value").alias("mean_value"),
         F.sum((F.col("event_type") == "purchase").cast("long")).alias("purchases"))
-    return g.select(F.col("w.start").alias("window_start"), "event_type", "events", "mean_value", "purchases")
+    return g.select(F.col("w.start").cast(kind).alias("window_start"), "event_type", "events", "mean_value", "purchases")
 
 
 def score_stream(features: DataFrame, model, threshold: float, sink_path: str, checkpoint: str,
                  prob_col: str = "p"):
-    """Alerts: streamed features -> model probability -> decision labels, per micro-batch to parquet."""
+    """Alerts: streamed features -> model probability -> decision labels, per micro-batch to parquet.
+
+    Each micro-batch is written to a partition of its own, ``batch_id=N``, in
+    overwrite mode: a batch that runs again after a failure replaces its rows.
+    Late rows have no features; they are kept with their flag, unscored.
+    """
     from seqlens.operators.score import label_scores
 
     def write(batch: DataFrame, batch_id: int) -> None:
         scored = label_scores(model.predict_proba(batch.where(~F.col("late")), prob_col), threshold, prob_col)
-        scored.write.mode("append").parquet(sink_path)
+        late = batch.where("late").select(*[F.col(c) if c in batch.columns else F.lit(None).cast(t).alias(c)
+                                            for c, t in scored.dtypes])
+        scored.unionByName(late).write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
 
     return features.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
