@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlens.functions.expr import bucket_ordinal, bucket_right
-from seqlens.functions.util import stats_row
-from seqlens.operators.ranking import quantile_wide, quantiles
+from seqlens.functions.util import join_small, stats_row
+from seqlens.operators.ranking import quantile_wide, quantiles, quantiles_of_counts, value_counts_long
+from seqlens.session import cut_lineage
 
 
 def bucket_dimension(spark: SparkSession, labels: list[str]) -> DataFrame:
@@ -22,7 +23,7 @@ def rate_by_bucket(df: DataFrame, col: str, edges: list[float], labels: list[str
     """Mean target and count per right-closed bucket.
 
     ``keep_empty`` adds buckets with no rows (mean NULL, count 0) from the
-    broadcast label dimension, as ``observed=False`` does.
+    label dimension, as ``observed=False`` does.
     """
     b = df.select(bucket_right(col, edges, labels).alias("bucket"),
                   bucket_ordinal(col, edges).alias("ordinal"), F.col(target))
@@ -30,7 +31,7 @@ def rate_by_bucket(df: DataFrame, col: str, edges: list[float], labels: list[str
             .agg(F.avg(target).alias("rate"), F.count(target).cast("long").alias("n")))
     if not keep_empty:
         return agg
-    dim = F.broadcast(bucket_dimension(df.sparkSession, labels))
+    dim = bucket_dimension(df.sparkSession, labels)  # as many rows as labels, like the aggregate
     return dim.join(agg.drop("ordinal"), "bucket", "left").select(
         "bucket", "ordinal", "rate", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -54,18 +55,27 @@ def histogram(df: DataFrame, col: str, bins: int, lo=None, hi=None) -> DataFrame
                       (lo_c + (F.col("bin") + 1) * w).alias("hi"), "n")
 
 
-def box_stats(df: DataFrame, col: str, by: str) -> DataFrame:
-    """Q1, median, Q3, whiskers (furthest values inside 1.5 IQR) and outliers."""
-    q = quantile_wide(df, [col], [0.25, 0.5, 0.75], by=[by], names=["q1", "median", "q3"]).drop("column")
-    q = q.withColumn("_lo", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
-         .withColumn("_hi", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    x = F.col(col).cast("double")
-    j = df.select(by, x.alias("_x")).where(F.col("_x").isNotNull()).join(q, by)
-    inside = (F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))
-    return j.groupBy(by, "q1", "median", "q3").agg(
-        F.min(F.when(inside, F.col("_x"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("_x"))).alias("whisker_high"),
-        F.sum((~inside).cast("long")).alias("outliers"))
+def box_stats(df: DataFrame, col, by: str) -> DataFrame:
+    """Q1, median, Q3, whiskers (furthest values inside 1.5 IQR) and outliers.
+
+    ``col`` is a column or a list of columns (then with a ``column`` column).
+    Rows are read once and counted by (class, column, value); quartiles,
+    whiskers and outliers all come from these counts.
+    """
+    cols = [col] if isinstance(col, str) else list(col)
+    vc = cut_lineage(value_counts_long(df.where(F.col(by).isNotNull()), cols, [by]))
+    q = quantiles_of_counts(vc, [0.25, 0.5, 0.75], [by])
+    q = q.groupBy(by, "column").agg(*[F.max(F.when(F.col("q") == F.lit(v), F.col("value"))).alias(n)
+                                      for v, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
+    hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
+    j = join_small(vc, q, [by, "column"])
+    inside = (F.col("value") >= lo) & (F.col("value") <= hi)
+    out = j.groupBy(by, "column", "q1", "median", "q3").agg(
+        F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
+        F.sum(F.when(inside, 0).otherwise(F.col("n"))).cast("long").alias("outliers"))
+    return out.drop("column") if isinstance(col, str) else out
 
 
 def density(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
@@ -96,27 +106,33 @@ def density(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
                     (F.col("s") * norm / (F.col("n") * F.col("bw"))).alias("density"))
 
 
+def numeric_bounds(df: DataFrame, fallbacks: dict[str, tuple[float, float]], lo_q: float = 0.01,
+                   hi_q: float = 0.99) -> DataFrame:
+    """(column, lo, hi, used_fallback) of several columns from one quantile pass.
+
+    The fallback holds when a column is empty, non-finite or has equal bounds.
+    """
+    cols = list(fallbacks)
+    q = quantile_wide(df, cols, [lo_q, hi_q], names=["_lo", "_hi"])
+    dim = df.sparkSession.createDataFrame([(c, float(a), float(b)) for c, (a, b) in fallbacks.items()],
+                                          "column string, _a double, _b double")
+    j = dim.join(q, "column", "left")  # one row a column on both sides
+    bad = (F.col("_lo").isNull() | F.col("_hi").isNull() | F.isnan("_lo") | F.isnan("_hi") | (F.col("_lo") == F.col("_hi")))
+    return j.select("column", F.when(bad, F.col("_a")).otherwise(F.col("_lo")).alias("lo"),
+                    F.when(bad, F.col("_b")).otherwise(F.col("_hi")).alias("hi"), bad.alias("used_fallback"))
+
+
 def quantile_bounds(df: DataFrame, col: str, lo_q: float = 0.01, hi_q: float = 0.99,
                     fallback: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
-    """(lo, hi, used_fallback): fallback when empty, non-finite or equal."""
-    q = quantile_wide(df, [col], [lo_q, hi_q], names=["_lo", "_hi"])
-    st = stats_row(q.select("_lo", "_hi").unionByName(
-        df.sparkSession.range(1).select(F.lit(None).cast("double").alias("_lo"),
-                                        F.lit(None).cast("double").alias("_hi")))
-        .agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi")))
-    bad = (st["_lo"].isNull() | st["_hi"].isNull() | F.isnan(st["_lo"]) | F.isnan(st["_hi"])
-           | (st["_lo"] == st["_hi"]))
-    one = df.sparkSession.range(1)
-    return one.select(F.when(bad, F.lit(float(fallback[0]))).otherwise(st["_lo"]).alias("lo"),
-                      F.when(bad, F.lit(float(fallback[1]))).otherwise(st["_hi"]).alias("hi"),
-                      bad.alias("used_fallback"))
-
-
-def quantile_levels(df: DataFrame, col: str, levels=(("Low", 0.25), ("Medium", 0.5), ("High", 0.75))) -> DataFrame:
-    """Named quantile levels ``(level, value)``."""
-    q = quantiles(df, [col], [p for _, p in levels])
-    name = None
-    for lab, p in levels:
-        name = F.when(F.col("q") == F.lit(float(p)), lab) if name is None else \
-            name.when(F.col("q") == F.lit(float(p)), lab)
-    return q.select(name.alias("level"), "value")
+    """(lo, hi, used_fallback) of one column, as :func:`numeric_bounds`."""
+    return numeric_bounds(df, {col: fallback}, lo_q, hi_q).drop("column")
+
+
+def quantile_levels(df: DataFrame, col: str, levels=(("Low", 0.25), ("Medium", 0.5), ("High", 0.75)),
+                    fallback: dict[str, float] | None = None) -> DataFrame:
+    """Named quantile levels ``(level, value)``; an empty column gives the ``fallback`` values (NULL without them)."""
+    q = quantiles(df, [col], [p for _, p in levels]).select(F.col("q"), F.col("value").alias("_v"))
+    fall = fallback or {}
+    dim = df.sparkSession.createDataFrame([(lab, float(p), fall.get(lab)) for lab, p in levels],
+                                          "level string, q double, _f double")
+    return dim.join(q, "q", "left").select("level", F.coalesce("_v", "_f").alias("value"))

@@ -1,8 +1,8 @@
 """Spearman (average ranks) and Pearson correlation matrices.
 
 Ranks come from the distributed running sum over (column, value) counts;
-each column's rank map is joined back on the value (AQE broadcasts the
-small ones), and every pair's correlation is one aggregate expression of a
+each column's rank map is joined back on the value (broadcast when it is
+small), and every pair's correlation is one aggregate expression of a
 single pass.  Pairs are complete-case: a pair whose columns contain NULLs is
 ranked again on its own complete rows.
 """
@@ -14,6 +14,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqlens.functions.util import BROADCAST_ROWS
 from seqlens.operators.ranking import average_ranks
 from seqlens.session import cut_lineage
 
@@ -24,10 +25,18 @@ def _null_columns(df: DataFrame, cols: list[str]) -> set[str]:
 
 
 def with_ranks(df: DataFrame, cols: list[str], prefix: str = "_r_") -> DataFrame:
-    ranks = average_ranks(df, cols)
+    """``df`` with the average rank of each column.
+
+    All columns are ranked in one pass; a column's rank map (one row per
+    distinct value) is broadcast if it is small, so the rows aren't moved.
+    """
+    ranks = cut_lineage(average_ranks(df, cols))
+    size = {r["column"]: r["count"] for r in ranks.groupBy("column").count().collect()}  # one row a column
     out = df
     for c in cols:
         m = ranks.where(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("rank").alias(f"{prefix}{c}"))
+        if size.get(c, 0) <= BROADCAST_ROWS:
+            m = F.broadcast(m)
         out = out.join(m, F.col(c).cast("double") == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")
     return out
 

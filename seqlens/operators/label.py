@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlens.operators.temporal import sequence_window
+from seqlens.session import cut_lineage
 from seqlens.spec import LAPS, SequenceSpec
 
 # Fixed decision rule: keep the supplied label only when it agrees on at
@@ -51,9 +52,10 @@ def label_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 def label_crosstab(df: DataFrame, a: str, b: str, values=(0, 1)) -> DataFrame:
     """Crosstab rows = ``a``, one count and one share-of-total column per ``b`` value."""
     counts = (df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-                .groupBy(a).pivot(b, list(values)).count().na.fill(0))
-    total = (df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-               .agg(F.count(F.lit(1)).alias("_total")).scalar())
+                .groupBy(a).agg(*[F.count(F.when(F.col(b) == v, 1)).alias(str(v)) for v in values],
+                                F.count(F.lit(1)).alias("_all")))
+    counts = cut_lineage(counts)  # the total comes from the counts, not from the rows again
+    total = counts.agg(F.sum("_all")).scalar()
     cols = [F.col(a)]
     for v in values:
         cols.append(F.col(str(v)).cast("long").alias(f"n_{b}_{v}"))
@@ -70,21 +72,18 @@ def mismatch_profile(df: DataFrame, a: str, b: str, spec: SequenceSpec = LAPS,
                      top: int = 10) -> DataFrame:
     """Mismatches by final-row flag, by direction, top groups, by category.
 
-    Long form ``(facet, value, n)``; one scan feeds the four aggregates.
+    Long form ``(facet, value, n)``: each mismatch names its four facets in
+    one array, so the rows are read and windowed once.
     """
     mm = mismatches(rebuild_label(df, spec, "_rb"), a, b)
-    by_final = mm.groupBy(F.col("is_final").cast("string").alias("value")).count() \
-                 .withColumn("facet", F.lit("final_row"))
-    by_dir = mm.groupBy(F.concat_ws("->", F.col(a).cast("string"), F.col(b).cast("string"))
-                        .alias("value")).count().withColumn("facet", F.lit("direction"))
-    by_group = (mm.groupBy(F.col(spec.group).alias("value")).count()
-                  .orderBy(F.desc("count"), F.asc("value")).limit(top)
-                  .withColumn("facet", F.lit("top_group")))
-    by_cat = (mm.where(F.col(spec.category).isNotNull())
-                .groupBy(F.col(spec.category).alias("value")).count()
-                .withColumn("facet", F.lit("category")))
-    out = by_final.unionByName(by_dir).unionByName(by_group).unionByName(by_cat)
-    return out.select("facet", "value", F.col("count").cast("long").alias("n"))
+    pick = lambda facet, v: F.struct(F.lit(facet).alias("facet"), v.cast("string").alias("value"))
+    facets = F.array(pick("final_row", F.col("is_final")),
+                     pick("direction", F.concat_ws("->", F.col(a).cast("string"), F.col(b).cast("string"))),
+                     pick("top_group", F.col(spec.group)), pick("category", F.col(spec.category)))
+    c = mm.select(F.inline(facets)).groupBy("facet", "value").agg(F.count(F.lit(1)).cast("long").alias("n"))
+    c = cut_lineage(c.where(F.col("value").isNotNull() | F.col("facet").isin("top_group", "final_row")))
+    best = c.where("facet = 'top_group'").orderBy(F.desc("n"), F.asc("value")).limit(top)
+    return c.where("facet <> 'top_group'").unionByName(best)
 
 
 def label_decision(df: DataFrame, a: str, b: str, spec: SequenceSpec = LAPS) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlens.functions.util import join_small
 from seqlens.session import cut_lineage
 
 
@@ -46,16 +47,17 @@ def cumulative(df: DataFrame, order: str, values: list[str], by: list[str] | Non
                       *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values])
 
 
-def value_counts_long(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(column, value, n) over the non-null values of numeric ``cols``.
+def value_counts_long(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by..., column, value, n) over the non-null values of numeric ``cols``.
 
     Map-side partial aggregation shrinks every partition to its distinct
     values before the shuffle.
     """
-    stacked = df.select(F.explode(F.array(*[
+    by = list(by or [])
+    stacked = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]))
-        .alias("_kv")).select("_kv.column", "_kv.value").where(F.col("value").isNotNull())
-    return stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        .alias("_kv")).select(*by, "_kv.column", "_kv.value").where(F.col("value").isNotNull())
+    return stacked.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def average_ranks(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -70,16 +72,18 @@ def quantiles(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | N
     """Exact quantiles with linear interpolation (pandas / numpy default).
 
     Long output ``(by..., column, q, value)``.  The value at 0-based index
-    ``i`` is found from cumulative counts of distinct values; the tiny
-    (column, q) target table is broadcast into a range-conditioned join.
+    ``i`` is found from cumulative counts of distinct values; the small
+    (group, column, q) target table is broadcast after a check of its size.
     """
     by = list(by or [])
-    stacked = df.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]))
-        .alias("_kv")).select(*by, "_kv.column", "_kv.value").where(F.col("value").isNotNull())
-    vc = stacked.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return quantiles_of_counts(value_counts_long(df, cols, by), qs, by)
+
+
+def quantiles_of_counts(vc: DataFrame, qs: list[float], by: list[str] | None = None) -> DataFrame:
+    """:func:`quantiles` of values that are already counted: ``(by..., column, value, n)``."""
+    by = list(by or [])
     cum = cumulative(vc, "value", ["n"], by=[*by, "column"])
-    sizes = vc.groupBy(*by, "column").agg(F.sum("n").alias("_size"))
+    sizes = cum.groupBy(*by, "column").agg(F.sum("n").alias("_size"))
     qarr = F.array(*[F.lit(float(q)) for q in qs])
     # targets: one row per (group, column, q); bounded by groups x columns x len(qs)
     targets = (sizes.select(*by, "column", "_size", F.explode(qarr).alias("q"))
@@ -90,7 +94,7 @@ def quantiles(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | N
     c = cum.withColumn("_start", F.col("cum_n") - F.col("n"))
     hit_lo = (F.col("_lo") >= F.col("_start")) & (F.col("_lo") < F.col("cum_n"))
     hit_hi = (F.col("_hi") >= F.col("_start")) & (F.col("_hi") < F.col("cum_n"))
-    j = c.join(targets, [*by, "column"]).where(hit_lo | hit_hi)
+    j = join_small(c, targets, [*by, "column"]).where(hit_lo | hit_hi)
     g = j.groupBy(*by, "column", "q").agg(
         F.max(F.when(hit_lo, F.col("value"))).alias("_vlo"),
         F.max(F.when(hit_hi, F.col("value"))).alias("_vhi"),

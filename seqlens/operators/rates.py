@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqlens.session import cut_lineage
+
 
 def _cols(by) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
@@ -66,14 +68,15 @@ def value_counts(df: DataFrame, col: str, normalize_total: bool = True) -> DataF
     c = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).cast("long").alias("n"))
     if not normalize_total:
         return c
-    total = df.where(F.col(col).isNotNull()).agg(F.count(F.lit(1))).scalar()
+    c = cut_lineage(c)  # the total comes from the counts, not from the rows again
+    total = c.agg(F.sum("n")).scalar()
     return c.select(col, "n", F.round(F.col("n") / total, 6).alias("share"))
 
 
 def ordered_categories(agg: DataFrame, dim: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
     """Left join an aggregate onto a fixed category order; missing -> NULL.
 
-    ``dim`` is a small literal dimension (bounded by construction) and is
-    broadcast.
+    ``dim`` is the fixed order, one row a category, as is the aggregate; the
+    strategy is left to their sizes at run time.
     """
-    return F.broadcast(dim).join(agg, key, "left").orderBy(ordinal)
+    return dim.join(agg, key, "left").orderBy(ordinal)

@@ -89,19 +89,23 @@ def q_histogram(spark, sf):
     return out
 
 
+BOX_COLUMNS = ["tyre_life", "lap_time", "lap_time_delta", "cumulative_degradation", "position", "race_progress"]
+
+
 @register("q_box_stats", with_laps("""
-, q AS (SELECT will_pit, quantile_cont(tyre_life, 0.25) AS q1, quantile_cont(tyre_life, 0.5) AS median,
-               quantile_cont(tyre_life, 0.75) AS q3 FROM laps WHERE tyre_life IS NOT NULL GROUP BY will_pit),
-j AS (SELECT l.will_pit, l.tyre_life AS x, q1, median, q3, q1 - 1.5 * (q3 - q1) AS flo, q3 + 1.5 * (q3 - q1) AS fhi
-      FROM laps l JOIN q USING (will_pit) WHERE l.tyre_life IS NOT NULL)
-SELECT will_pit, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
- min(CASE WHEN x >= flo AND x <= fhi THEN x END) AS whisker_low, max(CASE WHEN x >= flo AND x <= fhi THEN x END) AS whisker_high,
+, s AS (""" + " UNION ALL ".join(f"SELECT will_pit, '{c}' AS feature, cast({c} AS DOUBLE) AS x FROM laps WHERE {c} IS NOT NULL"
+                                 for c in BOX_COLUMNS) + """),
+q AS (SELECT will_pit, feature, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median,
+             quantile_cont(x, 0.75) AS q3 FROM s GROUP BY will_pit, feature),
+j AS (SELECT s.*, q1, median, q3, q1 - 1.5 * (q3 - q1) AS flo, q3 + 1.5 * (q3 - q1) AS fhi FROM s JOIN q USING (will_pit, feature))
+SELECT will_pit, feature, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+ round(min(CASE WHEN x >= flo AND x <= fhi THEN x END), 6) AS whisker_low,
+ round(max(CASE WHEN x >= flo AND x <= fhi THEN x END), 6) AS whisker_high,
  cast(sum(CASE WHEN x >= flo AND x <= fhi THEN 0 ELSE 1 END) AS BIGINT) AS outliers
-FROM j GROUP BY will_pit, q1, median, q3"""))
+FROM j GROUP BY will_pit, feature, q1, median, q3"""))
 def q_box_stats(spark, sf):
-    b = B.box_stats(laps(spark, sf), "tyre_life", TARGET)
-    return b.select(TARGET, *[r6(c).alias(c) for c in ("q1", "median", "q3")], "whisker_low", "whisker_high",
-                    F.col("outliers").cast("long").alias("outliers"))
+    b = B.box_stats(laps(spark, sf), BOX_COLUMNS, TARGET)
+    return b.select(TARGET, F.col("column").alias("feature"), *[r6(c).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")], "outliers")
 
 
 @register("q_density", with_laps(f"""
@@ -126,11 +130,7 @@ BOUNDS = {"tyre_life": (1.0, 60.0), "lap_time_delta": (-10.0, 10.0), "position_c
     f"FROM (SELECT quantile_cont({c}, 0.01) AS lo, quantile_cont({c}, 0.99) AS hi FROM laps))"
     for c, fb in BOUNDS.items())))
 def q_numeric_bounds(spark, sf):
-    l = laps(spark, sf)
-    out = None
-    for c, fb in BOUNDS.items():
-        b = B.quantile_bounds(l, c, 0.01, 0.99, fb).select(F.lit(c).alias("column"), "lo", "hi", "used_fallback")
-        out = b if out is None else out.unionByName(b)
+    out = B.numeric_bounds(laps(spark, sf), BOUNDS)
     return out.select("column", r6("lo").alias("lo"), r6("hi").alias("hi"), "used_fallback")
 
 
