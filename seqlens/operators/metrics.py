@@ -167,3 +167,11 @@ def select_best(cmp: DataFrame, target_recall: float = 0.60, model: str = "model
     best = cmp.agg(F.min(F.struct(key.alias("_k"), F.struct(*cmp.columns).alias("_row"))).alias("_b"))
     return best.where(F.col("_b").isNotNull()).select("_b._row.*").withColumn(
         "reached_target", F.col("recall") >= F.lit(target_recall))
+
+
+def best_by_roc(cmp: DataFrame, named: str | None = None, model: str = "model", roc: str = "roc_auc") -> DataFrame:
+    """The named model's row if it is listed, else the row with the highest numeric ROC-AUC."""
+    pri = F.when(F.col(model) == F.lit(named), 0).otherwise(1)
+    num = F.col(roc).cast("string").try_cast("double")
+    cand = cmp.withColumn("_pri", pri).where((F.col("_pri") == 0) | num.isNotNull())
+    return cand.orderBy("_pri", num.desc_nulls_last(), model).limit(1).drop("_pri")

@@ -202,15 +202,11 @@ def q_unpivot_scores(spark, sf):
 
 
 @register("q_best_by_roc", with_laps(COMPARE_SQL + """
-, named AS (SELECT * FROM cmp WHERE model = 'best_model_not_listed')
-SELECT model, round(roc_auc, 6) AS roc_auc FROM (
-  SELECT model, roc_auc, 0 AS pri FROM named
-  UNION ALL SELECT model, roc_auc, 1 FROM cmp WHERE TRY_CAST(cast(roc_auc AS VARCHAR) AS DOUBLE) IS NOT NULL)
-ORDER BY pri, roc_auc DESC, model LIMIT 1"""))
+, best AS (SELECT model, roc_auc FROM cmp WHERE roc_auc IS NOT NULL ORDER BY roc_auc DESC, model LIMIT 1)
+SELECT 'tyre' AS asked, model, round(roc_auc, 6) AS roc_auc FROM cmp WHERE model = 'tyre'
+UNION ALL SELECT 'best_model_not_listed', model, round(roc_auc, 6) FROM best"""))
 def q_best_by_roc(spark, sf):
-    """Named best model if listed, else the highest numeric ROC-AUC (non-numeric ignored)."""
+    """The named model's row if it is listed; else the highest numeric ROC-AUC."""
     c = M.compare_models(model_scores(spark, sf), THRESHOLD)
-    named = "best_model_not_listed"
-    cand = c.select("model", "roc_auc", F.when(F.col("model") == named, 0).otherwise(1).alias("pri")) \
-            .where((F.col("pri") == 0) | F.col("roc_auc").cast("string").try_cast("double").isNotNull())
-    return cand.orderBy("pri", F.desc("roc_auc"), "model").limit(1).select("model", r6("roc_auc").alias("roc_auc"))
+    pick = lambda name: M.best_by_roc(c, name).select(F.lit(name).alias("asked"), "model", r6("roc_auc").alias("roc_auc"))
+    return pick("tyre").unionByName(pick("best_model_not_listed"))

@@ -15,7 +15,7 @@ BASE_NUMERIC = ["lap", "stint", "tyre_life", "position", "lap_time", "yr", "lap_
                 "cumulative_degradation", "race_progress", "normalized_tyre_life", "position_change"]
 CATEGORICAL = ["compound", "yr", "race", "driver"]
 OUTLIER_COLS = ["lap_time", "lap_time_delta", "cumulative_degradation", "tyre_life"]
-DUP_COLS = ["driver", "race", "yr", "compound", "stint", "position", "lap_time"]
+
 
 
 def _union(parts):
@@ -36,10 +36,10 @@ def q_null_profile(spark, sf):
 
 
 @register("q_duplicate_rows", with_laps(f"""
-, g AS (SELECT count(*) AS n FROM laps GROUP BY {", ".join(DUP_COLS)})
+, g AS (SELECT count(*) AS n FROM laps GROUP BY {", ".join(LAPS_COLUMNS)})
 SELECT cast(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_rows FROM g"""))
 def q_duplicate_rows(spark, sf):
-    return P.duplicate_rows(laps(spark, sf).select(*DUP_COLS))
+    return P.duplicate_rows(laps(spark, sf))
 
 
 @register("q_cardinality", with_laps(_union(

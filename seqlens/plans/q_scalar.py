@@ -57,13 +57,13 @@ SELECT driver, race, yr, lap, coalesce(compound, 'UNKNOWN') AS compound_in,
  cast(tyre_life AS DOUBLE) AS tyre_life_in FROM laps"""))
 def q_coerce_rows(spark, sf):
     """Form-style coercion: text or UNKNOWN; four integers by half-even rounding."""
-    l = laps(spark, sf)
-    return l.select(*KEYS, X.fill_unknown("compound").alias("compound_in"),
-                    X.half_even_int(F.col("lap") / 2.0).alias("lap_in"),
-                    X.half_even_int(F.col("stint") + 0.5).alias("stint_in"),
-                    X.half_even_int(F.col("position") / 2.0).alias("position_in"),
-                    X.half_even_int(F.col("yr") + 0.5).alias("year_in"),
-                    F.col("tyre_life").cast("double").alias("tyre_life_in"))
+    from seqlens.operators.score import coerce_rows
+    form = laps(spark, sf).select(*[F.col(c).alias(c) for c in KEYS], F.col("compound").alias("compound_in"),
+                                  (F.col("lap") / 2.0).alias("lap_in"), (F.col("stint") + 0.5).alias("stint_in"),
+                                  (F.col("position") / 2.0).alias("position_in"), (F.col("yr") + 0.5).alias("year_in"),
+                                  F.col("tyre_life").alias("tyre_life_in"))
+    return coerce_rows(form, ["driver", "race", "compound_in"], ["yr", "lap", "lap_in", "stint_in", "position_in", "year_in"],
+                       ["tyre_life_in"])
 
 
 @register("q_display_names", with_laps("""
@@ -93,13 +93,19 @@ def q_score_labels(spark, sf):
 
 
 @register("q_scenario_rows", with_laps("""
-, mx AS (SELECT max(lap) AS max_lap, max(tyre_life) AS max_life FROM laps)
+, mx AS (SELECT max(lap) AS max_lap, max(tyre_life) AS max_life, quantile_cont(cumulative_degradation, 0.25) AS lo,
+  quantile_cont(cumulative_degradation, 0.5) AS me, quantile_cont(cumulative_degradation, 0.75) AS hi FROM laps)
 SELECT driver, race, yr, lap,
  cast(greatest(1, round_even(max_lap * greatest(race_progress, 0.01), 0)) AS INT) AS lap_number,
- round(greatest(least(tyre_life / greatest(max_life, 1.0), 1.0), 0.0), 6) AS normalized_life
+ round(greatest(least(tyre_life / greatest(max_life, 1.0), 1.0), 0.0), 6) AS normalized_life,
+ round(CASE WHEN compound = 'SOFT' THEN hi WHEN compound = 'MEDIUM' THEN me WHEN compound = 'HARD' THEN lo END, 6) AS level_value
 FROM laps, mx"""))
 def q_scenario_rows(spark, sf):
-    """Quick-scenario derivation against dataset maxima (a scalar subquery)."""
+    """Quick-scenario derivation against dataset maxima and degradation levels."""
+    from seqlens.operators.buckets import quantile_levels
     from seqlens.operators.score import scenario_rows
     l = laps(spark, sf)
-    return scenario_rows(l, l).select(*KEYS, "lap_number", r6("normalized_life").alias("normalized_life"))
+    name = F.when(F.col("compound") == "SOFT", "High").when(F.col("compound") == "MEDIUM", "Medium") \
+            .when(F.col("compound") == "HARD", "Low")
+    out = scenario_rows(l.withColumn("asked", name), l, level="asked", levels=quantile_levels(l, "cumulative_degradation"))
+    return out.select(*KEYS, "lap_number", r6("normalized_life").alias("normalized_life"), r6("level_value").alias("level_value"))
