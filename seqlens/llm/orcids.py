@@ -18,22 +18,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqlens.llm.tokens import ChunkIds, text_of, tokenizer_path
+from seqlens.llm.tokens import shared, tokenizer_path
 from seqlens.session import ensure_checkpoint_dir
 
 END_ID = 2
-SLICE = 256  # documents encoded at a time
+SLICE = 1024 # documents encoded at a time
 
 
 def _encoder(path: str, end_id: int):
     end = np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        chunks = ChunkIds(path)
+        chunks = shared(path)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                ids = [chunks.encode(text_of(t.as_py())) + end for t in part.column("text")]
+                ids = [x + end for x in chunks.encode_many(t.as_py() for t in part.column("text"))]
                 sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 values = pa.array(np.frombuffer(b"".join(ids), np.int32))

@@ -42,7 +42,7 @@ def tokenizer_path(name: str) -> str:
 class ChunkIds:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 2_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,8 +60,8 @@ class ChunkIds:
         self.up = self.down = np.ones(1, np.uint64)
 
     def _reset(self) -> None:
-        self.number: dict[int, int] = {}  # chunk hash -> place in ``spans``
-        self.spans = np.zeros((1 << 16, 2), np.int64)  # first id and number of ids in ``pool``
+        self.names = np.zeros(0, np.uint64)  # hashes of the remembered chunks, ascending
+        self.spans = np.zeros((0, 2), np.int64)  # of each, the first id and the number of ids in ``pool``
         self.pool = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
@@ -128,7 +128,7 @@ class ChunkIds:
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
         if not len(buf):
             return [b""] * len(texts)
-        if len(self.number) > self.limit:
+        if len(self.names) > self.limit:
             self._reset()
         start, end = self._cuts(texts, buf, ends)
         if len(self.up) <= len(buf):
@@ -140,14 +140,16 @@ class ChunkIds:
         h = (sums[end] - sums[start]) * self.down[start]
         h ^= (h >> np.uint64(29)) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         names, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        place = list(map(self.number.get, names.tolist()))
-        if None in place:
-            new = [i for i, x in enumerate(place) if x is None]
+        at = np.searchsorted(self.names, names)
+        known = np.zeros(len(names), bool)
+        inside = at < len(self.names)
+        known[inside] = self.names[at[inside]] == names[inside]
+        if not known.all():
+            new = np.flatnonzero(~known)
             a, b = start[where[new]].tolist(), end[where[new]].tolist()
-            ids = self._learn([raw[x:y].decode() for x, y in zip(a, b)])
-            for i, k in zip(new, self._store(names[new].tolist(), ids)):
-                place[i] = k
-        span = self.spans[np.array(place, np.int64)][inverse]
+            self._store(at[new], names[new], self._learn([raw[x:y].decode() for x, y in zip(a, b)]))
+            at = np.searchsorted(self.names, names)
+        span = self.spans[at][inverse]
         size = span[:, 1]
         upto = np.cumsum(size)
         total = int(upto[-1]) if len(upto) else 0
@@ -156,20 +158,16 @@ class ChunkIds:
         cut = (4 * np.append(0, upto)[chunk]).tolist()
         return [tokens[x:y] for x, y in zip(cut, cut[1:])]
 
-    def _store(self, names: list[int], ids: list[bytes]) -> range:
+    def _store(self, at: np.ndarray, names: np.ndarray, ids: list[bytes]) -> None:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)
-        first, k = self.used, len(self.number)
-        while first + len(flat) > len(self.pool):
+        while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while k + len(ids) > len(self.spans):
-            self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
-        self.pool[first:first + len(flat)] = flat
+        self.pool[self.used:self.used + len(flat)] = flat
+        spans = np.stack([self.used + np.cumsum(sizes) - sizes, sizes], 1)
         self.used += len(flat)
-        self.spans[k:k + len(ids), 0] = first + np.cumsum(sizes) - sizes
-        self.spans[k:k + len(ids), 1] = sizes
-        self.number.update(zip(names, range(k, k + len(ids))))
-        return range(k, k + len(ids))
+        self.names = np.insert(self.names, at, names)
+        self.spans = np.insert(self.spans, at, spans, axis=0)
 
     def _learn(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks that aren't remembered."""
