@@ -224,5 +224,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows with a null id stay; ids are expected to be unique (a repeated id
     goes when any of its rows goes).
     """
-    gone = near_duplicates(docs, id_col, text_col, **kw).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, **kw).where("NOT kept").select(F.col("doc_id").alias("__seqlens_gone"))
+    return docs.join(gone.distinct(), docs[id_col].cast("long") == F.col("__seqlens_gone"), "left_anti")

@@ -133,13 +133,13 @@ def keep_quality(docs: DataFrame, text_col: str = "text", host_col: str = "sourc
     host, text = F.col(f"`{host_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
     failed = let(base_rules(text), _failed)
     hosts = host_verdicts(docs.select(host.alias("host"), failed.alias("base_failed")), host_rate)
-    bad = settle(hosts.where("rejected").select(F.col("host").alias("_host")))
+    bad = settle(hosts.where("rejected").select(F.col("host").alias("__seqlens_host")))
     passed = docs.where(~failed)
     if bad.count() <= BROADCAST_HOSTS:
-        return passed.join(F.broadcast(bad), same(host, F.col("_host")), "left_anti")
-    salted = bad.withColumn("_z", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        return passed.join(F.broadcast(bad), same(host, F.col("__seqlens_host")), "left_anti")
+    salted = bad.withColumn("__seqlens_z", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salt = F.pmod(F.xxhash64(text), F.lit(SALT)).cast("int")
-    return passed.join(salted, same(host, F.col("_host")) & (salt == F.col("_z")), "left_anti")
+    return passed.join(salted, same(host, F.col("__seqlens_host")) & (salt == F.col("__seqlens_z")), "left_anti")
 
 
 #: the query's SQL twin
