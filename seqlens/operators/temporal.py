@@ -25,7 +25,7 @@ def sequence_window(spec: SequenceSpec = LAPS):
 def require_columns(df: DataFrame, cols, where: str = "operator") -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise ValueError(f"{where} missing columns: {missing}")
+        raise ValueError(f"{where} needs these columns, which the table lacks: {missing}")
 
 
 def _past(spec: SequenceSpec, width: int):

@@ -73,21 +73,21 @@ def q_roc_auc(spark, sf):
 
 
 @register("q_pr_curve", with_laps(SCORES + """
-SELECT model, threshold, cast(tp AS BIGINT) AS tp, cast(fp AS BIGINT) AS fp,
-       round(precision, 6) AS precision, round(recall, 6) AS recall FROM pr WHERE model = 'risk'"""))
+SELECT model, round(threshold, 6) AS threshold, cast(tp AS BIGINT) AS tp, cast(fp AS BIGINT) AS fp,
+       round(precision, 6) AS precision, round(recall, 6) AS recall FROM pr"""))
 def q_pr_curve(spark, sf):
-    pts = M.pr_points(risk_scores(spark, sf), "model")
-    return pts.select("model", "threshold", F.col("tp").cast("long").alias("tp"),
+    pts = M.pr_points(model_scores(spark, sf), "model")
+    return pts.select("model", r6("threshold").alias("threshold"), F.col("tp").cast("long").alias("tp"),
                       F.col("fp").cast("long").alias("fp"), r6("precision").alias("precision"),
                       r6("recall").alias("recall"))
 
 
 @register("q_roc_curve", with_laps(SCORES + """
-SELECT model, p AS threshold, round(cn / tn_all, 6) AS fpr, round(cp / tp_all, 6) AS tpr FROM cd WHERE model = 'risk'
-UNION ALL SELECT 'risk', NULL, 0.0, 0.0"""))
+SELECT model, round(p, 6) AS threshold, round(cn / tn_all, 6) AS fpr, round(cp / tp_all, 6) AS tpr FROM cd
+UNION ALL SELECT DISTINCT model, NULL, 0.0, 0.0 FROM scores"""))
 def q_roc_curve(spark, sf):
-    pts = M.roc_points(risk_scores(spark, sf), "model")
-    return pts.select("model", "threshold", r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
+    pts = M.roc_points(model_scores(spark, sf), "model")
+    return pts.select("model", r6("threshold").alias("threshold"), r6("fpr").alias("fpr"), r6("tpr").alias("tpr"))
 
 
 @register("q_brier", with_laps(SCORES + """
@@ -114,12 +114,12 @@ def q_confusion(spark, sf):
 
 
 @register("q_recall_by_group", with_laps(SCORES + """
-SELECT race, cast(sum(y) AS BIGINT) AS positives,
+SELECT model, race, cast(sum(y) AS BIGINT) AS positives,
        round(CASE WHEN sum(y) > 0 THEN sum(CASE WHEN p >= 0.5 THEN y ELSE 0 END) / sum(y) END, 6) AS recall
-FROM scores WHERE model = 'risk' GROUP BY race"""))
+FROM scores GROUP BY model, race"""))
 def q_recall_by_group(spark, sf):
-    s = risk_scores(spark, sf).withColumn("pred", (F.col("p") >= THRESHOLD).cast("int"))
-    return M.recall_by_group(s, "race").select("race", "positives", r6("recall").alias("recall"))
+    s = model_scores(spark, sf).withColumn("pred", (F.col("p") >= THRESHOLD).cast("int"))
+    return M.recall_by_group(s, "race", by="model").select("model", "race", "positives", r6("recall").alias("recall"))
 
 
 @register("q_threshold_f1", with_laps(SCORES + """
