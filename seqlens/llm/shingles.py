@@ -60,3 +60,52 @@ def minhashes(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
         x = flat * a[i] + b[i]
         out[:, i] = np.minimum.reduceat(x ^ (x >> _S), starts)
     return out
+
+
+_TABLE = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0xC2B2AE3D27D4EB4F
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2^64; at least ``n`` of each."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.append(np.uint64(1), np.full(n, b, np.uint64))) for b in (_BASE, pow(_BASE, -1, 2**64))]
+    return _POWERS
+
+
+def run_hashes(texts: list[bytes], batch: int = 1_000_000) -> list[np.ndarray]:
+    """For each text the 64-bit hashes of its runs of bytes other than 32, in order, by array operations."""
+    out: list[np.ndarray] = []
+    part: list[bytes] = []
+    held = 0
+    for t in texts:
+        part.append(t)
+        held += len(t) + 1
+        if held >= batch:
+            out += _run_hashes(part)
+            part, held = [], 0
+    return out + _run_hashes(part) if part else out
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, from prefix sums."""
+    up, down = powers(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_TABLE[buf] * up[:len(buf)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _M1)
+
+
+def hashed_runs(buf: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of the runs of ``buf`` between gaps; the last byte must be a gap."""
+    before = np.append(True, gap[:-1])
+    start, end = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
+    return start, end, span_hashes(buf, start, end)
+
+
+def _run_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    start, _, h = hashed_runs(buf, buf == 32)
+    stop = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    cut = np.append(0, np.searchsorted(start, stop)).tolist()
+    return [h[a:b] for a, b in zip(cut, cut[1:])]
