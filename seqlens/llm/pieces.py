@@ -5,8 +5,9 @@ every vocabulary piece that matches somewhere; a character that is no piece
 has one edge of its UTF-8 byte pieces (score: the lowest piece score minus
 10).  Control pieces and longer never-merged pieces (score -1e9, runs of ``▁``)
 are no edges; a never-merged single character has the lowest score.  So no
-edge crosses the start of a ``▁`` or a line feed, and the lattice of a text is
-a chain of small lattices, one for each such chunk.
+edge crosses the start of a ``▁`` or a line feed (nor the place between a letter
+and a mark, if no piece of the vocabulary does), and the lattice of a text is a
+chain of small lattices, one for each such chunk.
 
 In a chunk, forward Viterbi gives the best score of every prefix; a search
 backward from the end takes those as exact heuristics (A-star): states leave
@@ -18,8 +19,8 @@ second choice can differ from their best, which keeps the merge exact.
 
 from __future__ import annotations
 
+import functools
 import heapq
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,11 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlens.llm.tokens import text_of, tokenizer_path
+from seqlens.llm.shingles import span_hashes
+from seqlens.llm.tokens import _ALNUM, _is_utf8, text_of, tokenizer_path
 
 UNKNOWN_PENALTY = 10.0
 NEVER_MERGED = -1e8
-_CHUNK = re.compile("▁?[^▁\n]+|\n|▁")
 
 
 class Lattice:
@@ -54,6 +55,10 @@ class Lattice:
                 self.surface[i] = p.replace("▁", " ").encode()
                 if s > NEVER_MERGED or len(p) == 1:
                     self.pieces[p] = (i, s)
+        #: punctuation that no piece holds right after an ASCII letter or digit: the lattice is cut before it there
+        joined = {b for p in self.pieces for a, b in zip(p, p[1:]) if a.isascii() and a.isalnum()}
+        self.marks = np.zeros(256, bool)
+        self.marks[[ord(c) for c in ".,;:!?" if c not in joined]] = True
         self.prefixes = {p[:k] for p in self.pieces for k in range(1, len(p) + 1)}
         low = min(s for _, s in self.pieces.values() if s > NEVER_MERGED)
         self.pieces = {p: (i, max(s, low)) for p, (i, s) in self.pieces.items()}
@@ -77,9 +82,9 @@ class Lattice:
     def nbest(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """At most ``n`` (score, ids), best first."""
         into = self.edges(chunk)
-        best = [0.0] + [-np.inf] * len(chunk)
-        for j in range(1, len(chunk) + 1):
-            best[j] = max((best[i] + s for i, s, _ in into[j]), default=-np.inf)
+        best = [0.0]
+        for edges in into[1:]:
+            best.append(max([best[i] + s for i, s, _ in edges], default=-np.inf))
         out, count = [], 0
         heap = [(-best[-1], len(chunk), 0, 0.0, None)]  # ties: nearer to the start first
         while heap and len(out) < n:
@@ -102,76 +107,155 @@ class Lattice:
 
 
 class ChunkPaths:
-    """Remembers the n best paths of chunks under a number; bounded."""
+    """The n best paths of texts, with a bounded memory of chunks.
 
-    def __init__(self, lattice: Lattice, n: int, limit: int = 200_000):
+    The chunks of a batch are found and hashed by array operations; of each
+    different one the best ids, its score and the loss of the second choice are
+    remembered.  Further choices are searched again for the few chunks that
+    need them.
+    """
+
+    def __init__(self, lattice: Lattice, n: int, limit: int = 1_500_000):
         self.lattice, self.n, self.limit = lattice, n, limit
-        self.reset()
-
-    def reset(self) -> None:
-        self.number: dict[str, int] = {}
-        self.paths: list[list[tuple[float, bytes]]] = []
-        self.ids: list[bytes] = []
-        self.score, self.second = array("d"), array("d")
-
-    def add(self, chunk: str) -> int:
-        got = [(s, array("I", ids).tobytes()) for s, ids in self.lattice.nbest(chunk, self.n)]
-        k = self.number[chunk] = len(self.ids)
-        self.paths.append(got[1:])
-        self.ids.append(got[0][1])
-        self.score.append(got[0][0])
-        self.second.append(got[0][0] - got[1][0] if len(got) > 1 else np.inf)
-        return k
+        self._reset()
+
+    def _reset(self) -> None:
+        self.names = np.zeros(0, np.uint64)      # hashes of the remembered chunks, ascending
+        self.spans = np.zeros((0, 2), np.int64)  # of each, the first id and the number of ids in ``pool``
+        self.score, self.second = np.zeros(0), np.zeros(0)
+        self.back = np.zeros(0, bool)            # whether its best ids decode to it
+        self.pool = np.zeros(1 << 18, np.uint32)
+        self.used = 0
+
+    def _store(self, at: np.ndarray, names: np.ndarray, chunks: list[str]) -> None:
+        best, score, second, back = [], [], [], []
+        surface = self.lattice.surface
+        for c in chunks:
+            got = self.lattice.nbest(c, min(self.n, 2))
+            best.append(got[0][1])
+            score.append(got[0][0])
+            second.append(got[0][0] - got[1][0] if len(got) > 1 else np.inf)
+            back.append(b"".join([surface[i] for i in got[0][1]]) == c.replace("▁", " ").encode())
+        sizes = np.fromiter(map(len, best), np.int64, len(best))
+        flat = np.fromiter((i for ids in best for i in ids), np.uint32, int(sizes.sum()))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used:self.used + len(flat)] = flat
+        spans = np.stack([self.used + np.cumsum(sizes) - sizes, sizes], 1)
+        self.used += len(flat)
+        self.names = np.insert(self.names, at, names)
+        self.spans = np.insert(self.spans, at, spans, axis=0)
+        self.score, self.second = np.insert(self.score, at, score), np.insert(self.second, at, second)
+        self.back = np.insert(self.back, at, back)
 
     def nbest(self, text: str) -> list[tuple[float, bytes]]:
-        """The n best (score, ids as little-endian unsigned 32 bits) of a whole text."""
-        chunks = _CHUNK.findall("▁" + text.replace(" ", "▁")) if text else []
-        if len(self.ids) > self.limit:
-            self.reset()
-        known = self.number
-        at = [known[c] if c in known else self.add(c) for c in chunks]
-        k = np.array(at, np.int64)
-        total = float(np.frombuffer(self.score, np.float64)[k].sum()) if at else 0.0
-        parts = list(map(self.ids.__getitem__, at))
-        second = np.frombuffer(self.second, np.float64)[k] if at else np.zeros(0)
-        near = np.flatnonzero(second < np.inf)
-        if len(near) > self.n - 1:
-            bar = np.partition(second[near], self.n - 2)[self.n - 2] if self.n > 1 else -np.inf
-            below, tied = near[second[near] < bar], near[second[near] == bar]
-            near = np.sort(np.concatenate([below, tied[:self.n - 1 - len(below)]]))
-        combos: list[tuple[float, tuple]] = [(0.0, ())]
-        for p in near.tolist():
-            options = [(0.0, None)] + [(self.score[at[p]] - s, ids) for s, ids in self.paths[at[p]]]
-            combos = heapq.nsmallest(self.n, ((c + d, x + (((p, ids),) if ids is not None else ()))
-                                              for c, x in combos for d, ids in options), key=lambda x: x[0])
+        return self.batch([text.encode()])[0][1]
+
+    def batch(self, texts: list[bytes]) -> list[tuple[bool, list[tuple[float, bytes]]]]:
+        """For each UTF-8 text whether its best ids decode to it, and its n best (score, ids as unsigned 32-bit little-endian)."""
+        if len(self.names) > self.limit:
+            self._reset()
+        spaced = [b" " + t.replace("▁".encode(), b" ") if t else b"" for t in texts]
+        sizes = np.fromiter(map(len, spaced), np.int64, len(spaced))
+        raw = b"".join(spaced)
+        buf = np.frombuffer(raw, np.uint8)
+        stop = np.cumsum(sizes)
+        cut = (buf == 32) | (buf == 10)  # a chunk starts at a space, at a line feed, after one, and at some marks
+        cut[1:] |= (buf[:-1] == 10) | self.lattice.marks[buf[1:]] & _ALNUM[buf[:-1]]
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(buf))
+        h = span_hashes(buf, start, end)
+        names, where, inverse = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.names, names)
+        known = np.zeros(len(names), bool)
+        inside = at < len(self.names)
+        known[inside] = self.names[at[inside]] == names[inside]
+        if not known.all():
+            new = np.flatnonzero(~known)
+            a, b = start[where[new]].tolist(), end[where[new]].tolist()
+            self._store(at[new], names[new], [raw[x:y].decode().replace(" ", "▁") for x, y in zip(a, b)])
+            at = np.searchsorted(self.names, names)
+        k = at[inverse]
+        span, second = self.spans[k], self.second[k]
+        size = span[:, 1]
+        upto = np.append(0, np.cumsum(size))
+        ids = self.pool[np.repeat(span[:, 0] - upto[:-1], size) + np.arange(int(upto[-1]))].tobytes()
+        of = np.append(0, np.searchsorted(start, stop))
+        score, back = np.append(0.0, np.cumsum(self.score[k])), np.append(0, np.cumsum(~self.back[k]))
         out = []
-        for c, changes in combos:
-            old = [(p, parts[p]) for p, _ in changes]
-            for p, ids in changes:
-                parts[p] = ids
-            out.append((total - c, b"".join(parts)))
-            for p, ids in old:
-                parts[p] = ids
+        for i, (p, q) in enumerate(zip(of.tolist(), of[1:].tolist())):
+            total = float(score[q] - score[p])
+            same = bool(back[q] == back[p]) and len(spaced[i]) - 1 == len(texts[i]) or not texts[i]
+            near = self._nearest(second[p:q]) + p
+            if not len(near):
+                out.append((same, [(total, ids[4 * upto[p]:4 * upto[q]])]))
+                continue
+            options = []
+            for c in near.tolist():
+                more = self.lattice.nbest(raw[start[c]:end[c]].decode().replace(" ", "▁"), self.n)
+                options.append((c, [(more[0][0] - s, array("I", x).tobytes()) for s, x in more[1:]]))
+            found = []
+            for loss, changes in self._merge(options):
+                parts, last = [], p
+                for c, x in changes:
+                    parts += [ids[4 * upto[last]:4 * upto[c]], x]
+                    last = c + 1
+                found.append((total - loss, b"".join([*parts, ids[4 * upto[last]:4 * upto[q]]])))
+            out.append((same, found))
         return out
 
+    def _nearest(self, second: np.ndarray) -> np.ndarray:
+        """Places of the n - 1 smallest finite losses, the earlier of equal ones."""
+        near = np.flatnonzero(second < np.inf) if self.n > 1 else np.zeros(0, np.int64)
+        if len(near) <= self.n - 1:
+            return near
+        loss = second[near]
+        bar = np.partition(loss, self.n - 2)[self.n - 2]
+        below, tied = near[loss < bar], near[loss == bar]
+        return np.sort(np.concatenate([below, tied[:self.n - 1 - len(below)]]))
+
+    def _merge(self, options: list[tuple[int, list[tuple[float, bytes]]]]) -> list[tuple[float, tuple]]:
+        """The n cheapest sets of changes (loss, ((chunk, ids), ...)); each chunk keeps its best or takes one option."""
+        combos: list[tuple[float, tuple]] = [(0.0, ())]
+        for c, more in options:
+            combos = heapq.nsmallest(self.n, ((a + d, x + (((c, ids),) if ids is not None else ()))
+                                              for a, x in combos for d, ids in [(0.0, None), *more]), key=lambda v: v[0])
+        return combos
+
+
+@functools.cache
+def shared(path: str, n: int) -> ChunkPaths:
+    """The worker process's own memory."""
+    return ChunkPaths(Lattice(path), n)
+
 
 SCHEMA = "doc_id long, rank int, score double, n_pieces long, ids_crc32 long, round_trip boolean, ids binary"
+BATCH_BYTES = 1_000_000
 
 
 def _segmenter(path: str, n: int, with_ids: bool):
+    def rows(paths: ChunkPaths, ids: list, texts: list[bytes]) -> pd.DataFrame:
+        out = []
+        for i, t, (back, found) in zip(ids, texts, paths.batch([text_of(t).encode() for t in texts])):
+            back = back and (not t or _is_utf8(t))
+            for rank, (score, x) in enumerate(found, 1):
+                out.append((i, rank, score, len(x) // 4, zlib.crc32(x), back, x if with_ids else None))
+        out = pd.DataFrame(out, columns=["doc_id", "rank", "score", "n_pieces", "ids_crc32", "round_trip", "ids"])
+        return out.astype({"doc_id": "Int64"})
+
     def run(batches: Iterator[pd.DataFrame]):
-        lattice = Lattice(path)
-        paths = ChunkPaths(lattice, n)
+        paths = shared(path, n)
         for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                rows = []
-                for i, t in zip(pdf["id"].iloc[at:at + 200], pdf["text"].iloc[at:at + 200]):
-                    text = text_of(t)
-                    for rank, (score, ids) in enumerate(paths.nbest(text), 1):
-                        back = lattice.decode(np.frombuffer(ids, np.uint32)) == text.encode() if rank == 1 else back
-                        rows.append((i, rank, score, len(ids) // 4, zlib.crc32(ids), back, ids if with_ids else None))
-                out = pd.DataFrame(rows, columns=["doc_id", "rank", "score", "n_pieces", "ids_crc32", "round_trip", "ids"])
-                yield out.astype({"doc_id": "Int64"})
+            ids, texts, held = [], [], 0
+            for i, t in zip(pdf["id"], pdf["text"]):
+                ids.append(i)
+                texts.append(t)
+                held += len(t or b"")
+                if held >= BATCH_BYTES:
+                    yield rows(paths, ids, texts)
+                    ids, texts, held = [], [], 0
+            if ids:
+                yield rows(paths, ids, texts)
     return run
 
 
