@@ -85,6 +85,8 @@ def _set_maker(words: int):
             for at in range(0, len(pdf), 500):
                 sets = [shingle_set(word_hashes(t, cache), words) for t in pdf["text"].iloc[at:at + 500]]
                 sets = [s for s in sets if len(s)]
+                if not sets:
+                    continue
                 fold = np.array([_fold(s) for s in sets], np.uint64).reshape(len(sets), 2).view(np.int64)
                 yield pd.DataFrame({"n": [len(s) for s in sets], "s1": fold[:, 0], "s2": fold[:, 1],
                                     "s": [s.view(np.int64) for s in sets]})

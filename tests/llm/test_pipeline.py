@@ -54,3 +54,43 @@ def test_run_writes_each_stage(spark):
     key = lambda rows: hashlib.md5(str(sorted(map(tuple, rows))).encode()).hexdigest()
     pick = ("doc_id", "start", "length", "ids_crc32")
     assert key(out.select(*pick).collect()) == key(corpus_pipeline.run(spark, SF001).select(*pick).collect())
+
+
+EXTRA = {"id": "1", "h": "2", "key": "'k'", "n": "3", "score": "0.5", "spans": "'s'", "host": "'x'", "text2": "null"}
+
+
+def edge_rows(spark):
+    prose = " ".join(f"word{i} is number {i}." for i in range(60))
+    rows = [(1, prose, "en", "src0", len(prose)), (1, prose, "en", "src0", len(prose)), (2, None, None, None, None),
+            (None, prose + " more", "en", None, 5), (None, None, "en", "src1", None), (3, "", "de", "src0", 0),
+            (4, "x " * 200_000, "en", "src0", 400_000), (5, " ".join(f"w{i}" for i in range(150_000)), "en", "src2", 9),
+            (6, " \n\t ", "en", "src0", 4), (100, prose, "en", "src3", 8), (7, "\x00\x0b é 日本 ﷽ " * 20, None, "src0", 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_edge_rows_and_empty_tables(spark):
+    for docs in (edge_rows(spark), edge_rows(spark).limit(0)):
+        wide = docs.selectExpr("*", *[f"{v} AS {k}" for k, v in EXTRA.items()])
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, wide, SF001)
+            rows = out.collect()
+            if name != "packing":
+                assert out.columns == wide.columns, name
+            assert len(rows) <= wide.count() or name == "packing"
+            if not docs.limit(1).count():
+                assert rows == [], name
+    kept = stagewise = edge_rows(spark)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        stagewise = spark.createDataFrame(stage(spark, stagewise, SF001).collect(), kept.schema)
+    got = {r.doc_id: r.text for r in stagewise.collect()}
+    assert 5 in got and got[5].startswith("w0 w1 ") and 4 not in got and 3 not in got and 2 not in got
+
+
+def test_queries_on_edge_rows(spark, tmp_path):
+    from seqlens.llm import entry
+    for name, docs in (("edge", edge_rows(spark)), ("none", edge_rows(spark).limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{SF001}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        for q, f in entry.queries().items():
+            n = f(spark, f"file://{tmp_path}/{name}").count()
+            assert n == 0 if name == "none" else n >= (1 if q.startswith("op8") else 10), q
