@@ -35,40 +35,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlens.llm.base import buckets_for, narrow, same, settle
-from seqlens.llm.shingles import mix
+from seqlens.llm.shingles import mix, powers
 
 GRAM = 32
 REACH = 256            # windows look for their anchor among so many positions
 BUCKET_BYTES = 1_000_000
 CORE_STRINGS = 2_000
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 _A = np.uint64(0x9E3779B97F4A7C15)
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
-    """Hash of the ``gram`` bytes (a power of two) from each position; short by gram - 1."""
-    h, m = _TABLE[buf], 1
-    while m < gram:
-        h = mix(h[:-m] * _A + h[m:])
-        m *= 2
-    return h
+_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
 class SpanHashes:
-    """64-bit hashes of any spans of a buffer, from prefix sums over its gram hashes."""
+    """64-bit hashes of any spans of a buffer, from prefix sums of a polynomial with scrambled bytes as coefficients."""
 
-    def __init__(self, grams: np.ndarray, gram: int):
-        self.gram = gram
-        base = np.full(len(grams) + 1, 0xC2B2AE3D27D4EB4F, np.uint64)
-        base[0] = 1
-        back = np.full(len(grams) + 1, pow(0xC2B2AE3D27D4EB4F, -1, 2**64), np.uint64)
-        back[0] = 1
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(grams * np.cumprod(base)[:-1], dtype=np.uint64)])
-        self.back = np.cumprod(back)
+    def __init__(self, buf: np.ndarray, table: np.ndarray = _TABLE):
+        up, self.down = powers(len(buf) + 1)
+        self.sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(table[buf] * up[:len(buf)], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end - self.gram + 1] - self.sums[start]) * self.back[start])
+        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+
+    def grams(self, n: int) -> np.ndarray:
+        """Hash of the ``n`` bytes from each position; short by n - 1."""
+        return mix((self.sums[n:] - self.sums[:-n]) * self.down[:len(self.sums) - n])
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -87,8 +78,8 @@ def _segments(texts: list[bytes], length: int, reach: int, gram: int):
     buf = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     begins = np.cumsum(sizes) - sizes
-    grams = gram_hashes(buf, gram)
-    spans = SpanHashes(grams, gram)
+    spans = SpanHashes(buf)
+    grams = spans.grams(gram)
     low = np.uint64(0xFFFFFFFF)
     keyed = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)  # ties: the leftmost
     anchor = (sliding_min(keyed, reach) & low).astype(np.int64)
@@ -251,16 +242,16 @@ def _cut_strings(length: int):
     return run
 
 
-def _window_rows(length: int, gram: int):
+def _window_rows(length: int):
+    other = mix(_TABLE + _A) | np.uint64(1)
+
     def run(batches):
         for pdf in batches:
             for i, h, at, n, t in zip(pdf["id"], pdf["h"], pdf["at"], pdf["n"], pdf["str"]):
-                p = np.arange(len(t) - length + 1)
-                g = gram_hashes(np.frombuffer(t, np.uint8), gram)
-                w1 = SpanHashes(g, gram)(p, p + length)
-                w2 = SpanHashes(mix(g * _A), gram)(p, p + length)
-                yield pd.DataFrame({"id": pd.array([i] * len(p), "Int64"), "h": h, "p": (at >> 10) + p, "n": n,
-                                    "w1": w1.view(np.int64), "w2": w2.view(np.int64)})
+                buf = np.frombuffer(t, np.uint8)
+                w1, w2 = SpanHashes(buf).grams(length), SpanHashes(buf, other).grams(length)
+                yield pd.DataFrame({"id": pd.array([i] * len(w1), "Int64"), "h": h, "p": (at >> 10) + np.arange(len(w1)),
+                                    "n": n, "w1": w1.view(np.int64), "w2": w2.view(np.int64)})
     return run
 
 
@@ -276,8 +267,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("id").cast("long").alias("id"), F.crc32(F.col("text").cast("binary")).alias("h"),
         F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= length)
     seg = d.mapInPandas(_segment_rows(length, REACH, GRAM), "id long, h long, at long, core long, whole long")
-    cores = (seg.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
-             .where("k > 1").select("core", (F.col("lo") == F.col("hi")).alias("alike")))
+    cores = seg.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
+    # written out, so that the join below is between two plain shuffles and AQE can split a core met very often
+    cores = settle(cores.where("k > 1").select("core", (F.col("lo") == F.col("hi")).alias("alike")))
     seg = settle(seg.join(cores, "core"))
 
     mixed = seg.where("NOT alike").drop("alike")
@@ -299,7 +291,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     indexed = (strings.where("NOT big").withColumn("bucket", F.pmod(F.xxhash64("core"), F.lit(buckets)))
                .groupBy("bucket").applyInPandas(_index_bucket(length), "id long, h long, s long, e long"))
 
-    rows = strings.where("big").mapInPandas(_window_rows(length, GRAM), "id long, h long, p long, n int, w1 long, w2 long")
+    rows = strings.where("big").mapInPandas(_window_rows(length), "id long, h long, p long, n int, w1 long, w2 long")
     twice = rows.groupBy("w1", "w2").agg(F.sum("n").alias("k")).where("k > 1").select("w1", "w2")
     hashed = rows.where("n = 1").join(twice, ["w1", "w2"], "left_semi").select(
         "id", "h", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
@@ -351,14 +343,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spans = repeated_spans(docs, id_col, text_col, length)
     text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
-    spans = spans.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
-    out = docs.join(spans, same(F.col(f"`{id_col}`").cast("long"), F.col("_id")) & (F.crc32(text) == F.col("_h")), "left")
+    spans = spans.select(F.col("id").alias("__seqlens_id"), F.col("h").alias("__seqlens_h"), F.col("spans").alias("__seqlens_spans"))
+    out = docs.join(spans, same(F.col(f"`{id_col}`").cast("long"), F.col("__seqlens_id")) & (F.crc32(text) == F.col("__seqlens_h")), "left")
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
-    out = out.withColumn("_spans", F.coalesce("_spans", none))
-    size = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
+    out = out.withColumn("__seqlens_spans", F.coalesce("__seqlens_spans", none))
+    size = F.aggregate("__seqlens_spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
     return out.select(*docs.columns, F.octet_length(text).cast("long").alias("_n_bytes"), size.alias("_n_removed"),
-                      F.size("_spans").cast("long").alias("_n_spans"),
-                      F.when(F.size("_spans") == 0, text).otherwise(without_spans(text, F.col("_spans"))).alias("_kept"))
+                      F.size("__seqlens_spans").cast("long").alias("_n_spans"),
+                      F.when(F.size("__seqlens_spans") == 0, text).otherwise(without_spans(text, F.col("__seqlens_spans"))).alias("_kept"))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
