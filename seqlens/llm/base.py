@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,19 @@ from seqlens.session import cut_lineage
 ASCII_WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: rows of an Arrow batch between JVM and Python; texts may be long, and a batch is held on both sides
+ARROW_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``ARROW_ROWS`` rows if it is larger (or unlimited)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -29,6 +44,17 @@ def settle(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+#: a table goes to every executor only if it was counted and has no more rows and list entries than these (20 to 40 MB)
+BROADCAST_ROWS, BROADCAST_ENTRIES = 300_000, 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """``df``, written out by the caller, marked for broadcast if it is small; else joins shuffle the other side to it."""
+    entries = F.coalesce(F.sum(F.size(lists)), F.lit(0)) if lists else F.lit(0)
+    size = df.agg(F.count(F.lit(1)).alias("n"), entries.alias("k")).first()
+    return F.broadcast(df) if size["n"] <= BROADCAST_ROWS and size["k"] <= BROADCAST_ENTRIES else df
+
+
 def same(a, b):
     """Null-safe equality, usable as a hash-join key."""
     return a.eqNullSafe(b)
@@ -37,3 +63,22 @@ def same(a, b):
 def buckets_for(n: int, per_bucket: int, least: int = 1) -> int:
     """Number of buckets so that each holds about ``per_bucket`` units; grows with ``n``."""
     return max(least, -(-int(n) // per_bucket))
+
+
+def release() -> None:
+    """Give freed memory of this worker back to the system (glibc keeps freed blocks; elsewhere nothing happens)."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tidy(run):
+    """A batch function that releases memory when its task's input ends, as workers are used again by later stages."""
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return wrapped

@@ -29,13 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlens.llm.base import narrow, same, settle
+from seqlens.llm.base import narrow, same, settle, tidy
 from seqlens.llm.components import connected_components
-from seqlens.llm.shingles import WordHashes, coefficients, minhashes, mix, shingle_set, word_hashes
+from seqlens.llm.shingles import batched, coefficients, minhashes, mix, shingle_set, word_hashes
 
 RARE = 8            # a shingle in so many unresolved classes or fewer names its pairs directly
 BROADCAST_IDS = 300_000
-FLUSH = 1_000_000  # shingles handled at once in a task
 
 
 def _fold(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -45,7 +44,6 @@ def _fold(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
 
 def _sketcher(words: int, m: int, r: int, seed: int):
     def run(batches):
-        cache = WordHashes()
         a, b = coefficients(2 * m * r, seed)
 
         def sketch(ids, sets):
@@ -65,32 +63,23 @@ def _sketcher(words: int, m: int, r: int, seed: int):
                                  "small": [list(x) if k else [] for x, k in zip(small, n)]})
 
         for pdf in batches:
-            ids, sets, held = [], [], 0
-            for i, t in zip(pdf["id"], pdf["text"]):
-                ids.append(i)
-                sets.append(shingle_set(word_hashes(t, cache), words))
-                held += len(sets[-1])
-                if held >= FLUSH:
-                    yield sketch(pd.array(ids, "Int64"), sets)
-                    ids, sets, held = [], [], 0
-            if ids:
-                yield sketch(pd.array(ids, "Int64"), sets)
-    return run
+            for part in batched(zip(pdf["id"], pdf["text"]), lambda r: len(r[1] or b"")):
+                sets = [shingle_set(w, words) for w in word_hashes([t for _, t in part])]
+                yield sketch(pd.array([i for i, _ in part], "Int64"), sets)
+    return tidy(run)
 
 
 def _set_maker(words: int):
     def run(batches):
-        cache = WordHashes()
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                sets = [shingle_set(word_hashes(t, cache), words) for t in pdf["text"].iloc[at:at + 500]]
-                sets = [s for s in sets if len(s)]
+            for part in batched(pdf["text"], lambda t: len(t or b"")):
+                sets = [s for s in (shingle_set(w, words) for w in word_hashes(part)) if len(s)]
                 if not sets:
                     continue
                 fold = np.array([_fold(s) for s in sets], np.uint64).reshape(len(sets), 2).view(np.int64)
                 yield pd.DataFrame({"n": [len(s) for s in sets], "s1": fold[:, 0], "s2": fold[:, 1],
                                     "s": [s.view(np.int64) for s in sets]})
-    return run
+    return tidy(run)
 
 
 def _class_key():

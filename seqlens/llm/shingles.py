@@ -3,36 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xBF58476D1CE4E5B9)
 _S = np.uint64(31)
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash; bounded, so a worker's memory does not follow the vocabulary."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _S)) * _M2
     return h ^ (h >> _S)
 
 
-def word_hashes(text: bytes | None, cache: WordHashes, lower: bool = True) -> np.ndarray:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` (bytes.split splits on just these), A-Z lowered."""
-    words = (text.lower() if lower else text).split() if text else ()
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-
-
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; fewer than k words: one shingle; none: empty."""
     n = len(words)
@@ -74,6 +55,29 @@ def powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def word_hashes(texts: list[bytes | None]) -> list[np.ndarray]:
+    """For each text the hashes of its words ``[^\\x20\\x09-\\x0D]+``, A-Z lowered; null has none."""
+    texts = [t or b"" for t in texts]
+    buf = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
+    start, _, h = hashed_runs(buf, (buf == 32) | (buf >= 9) & (buf <= 13))
+    stop = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    cut = np.append(0, np.searchsorted(start, stop)).tolist()
+    return [h[a:b] for a, b in zip(cut, cut[1:])]
+
+
+def batched(rows, size, limit: int = 1_000_000):
+    """Lists of rows whose ``size(row)`` adds up to about ``limit``."""
+    part, held = [], 0
+    for r in rows:
+        part.append(r)
+        held += size(r)
+        if held >= limit:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def run_hashes(texts: list[bytes], batch: int = 1_000_000) -> list[np.ndarray]:
     """For each text the 64-bit hashes of its runs of bytes other than 32, in order, by array operations."""
     out: list[np.ndarray] = []
