@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqlens.llm.base import tidy
 from seqlens.llm.tokens import shared, tokenizer_path
 from seqlens.session import ensure_checkpoint_dir
 
@@ -40,7 +41,7 @@ def _encoder(path: str, end_id: int):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(sizes.astype(np.int32)),
                                                   pa.ListArray.from_arrays(offsets, values)],
                                                  names=["doc_id", "tie", "n_tokens", "ids"])
-    return run
+    return tidy(run)
 
 
 def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqlens.llm.base import tidy
 from seqlens.llm.tokens import shared, tokenizer_path
 
 LENGTH = 4096
@@ -113,7 +114,7 @@ def _packer(path: str, length: int, end_id: int, linear: float, quadratic: float
                         docs, ids, held = [], [], 0
         if ids:
             yield pieces(docs, ids)
-    return run
+    return tidy(run)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,

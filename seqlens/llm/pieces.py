@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqlens.llm.base import tidy
 from seqlens.llm.shingles import span_hashes
 from seqlens.llm.tokens import _ALNUM, _is_utf8, text_of, tokenizer_path
 
@@ -256,7 +257,7 @@ def _segmenter(path: str, n: int, with_ids: bool):
                     ids, texts, held = [], [], 0
             if ids:
                 yield rows(paths, ids, texts)
-    return run
+    return tidy(run)
 
 
 def nbest_segmentations(docs: DataFrame, n: int = 4, id_col: str = "doc_id", text_col: str = "text",

@@ -34,14 +34,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlens.llm.base import buckets_for, narrow, same, settle
+from seqlens.llm.base import broadcast_if_small, buckets_for, narrow, release, same, settle, tidy
 from seqlens.llm.shingles import mix, powers
 
 GRAM = 32
 REACH = 256            # windows look for their anchor among so many positions
-BUCKET_BYTES = 1_000_000
-CORE_STRINGS = 2_000
-BATCH_BYTES = 2_000_000
+BUCKET_BYTES = 400_000
+CORE_STRINGS = 800
+BATCH_BYTES = 600_000
 _A = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
@@ -115,7 +115,7 @@ def _segment_rows(length: int, reach: int, gram: int):
                     ids, hs, texts, held = [], [], [], 0
             if ids:
                 yield rows(ids, hs, texts)
-    return run
+    return tidy(run)
 
 
 # ---- the run-length index of one bucket ----
@@ -224,6 +224,7 @@ def _index_bucket(length: int):
             for a, b in _runs(starts) if n == 1 else ():
                 out["id"].append(i), out["h"].append(h)
                 out["s"].append((at >> 10) + a), out["e"].append((at >> 10) + b + length)
+        release()
         return pd.DataFrame(out).astype({"id": "Int64", "h": "int64", "s": "int64", "e": "int64"})
     return run
 
@@ -239,7 +240,7 @@ def _cut_strings(length: int):
                                  ("n", x["n"]), ("big", x["big"]), ("str", t[s:s + more + length])):
                         out[k].append(v)
             yield pd.DataFrame(out).astype({"id": "Int64"})
-    return run
+    return tidy(run)
 
 
 def _window_rows(length: int):
@@ -252,7 +253,7 @@ def _window_rows(length: int):
                 w1, w2 = SpanHashes(buf).grams(length), SpanHashes(buf, other).grams(length)
                 yield pd.DataFrame({"id": pd.array([i] * len(w1), "Int64"), "h": h, "p": (at >> 10) + np.arange(len(w1)),
                                     "n": n, "w1": w1.view(np.int64), "w2": w2.view(np.int64)})
-    return run
+    return tidy(run)
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
@@ -281,6 +282,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
              .select("r.*", F.struct("core", "whole", F.least("n", F.lit(2)).cast("int").alias("n"),
                                      F.coalesce("big", F.lit(False)).alias("big"), "r.at").alias("w"))
              .groupBy("id", "h").agg(F.collect_list("w").alias("wants")))
+    wants = broadcast_if_small(settle(wants), "wants")
     strings = settle(d.join(wants.withColumnsRenamed({"id": "i2", "h": "h2"}),
                             same(F.col("id"), F.col("i2")) & (F.col("h") == F.col("h2")))
                      .select("id", "h", "text", "wants")
@@ -344,6 +346,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(docs, id_col, text_col, length)
     text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
     spans = spans.select(F.col("id").alias("__seqlens_id"), F.col("h").alias("__seqlens_h"), F.col("spans").alias("__seqlens_spans"))
+    spans = broadcast_if_small(settle(spans), "__seqlens_spans")
     out = docs.join(spans, same(F.col(f"`{id_col}`").cast("long"), F.col("__seqlens_id")) & (F.crc32(text) == F.col("__seqlens_h")), "left")
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
     out = out.withColumn("__seqlens_spans", F.coalesce("__seqlens_spans", none))

@@ -13,7 +13,6 @@ Texts with other white space than ASCII's go to the tokenizer as they are.
 from __future__ import annotations
 
 import functools
-import json
 import os
 import re
 from array import array
@@ -31,7 +30,7 @@ _ALNUM = np.array([chr(c).isalnum() and c < 128 for c in range(256)])
 _TABLE = np.random.default_rng(3).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xC2B2AE3D27D4EB4F
 _RUN = 4_000             # words run together in a call
-BATCH = 1_000_000        # bytes cut and hashed at once
+BATCH = 600_000          # bytes cut and hashed at once
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,16 +41,14 @@ def tokenizer_path(name: str) -> str:
 class ChunkIds:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, limit: int = 2_500_000):
+    def __init__(self, path: str, limit: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
         #: white space is dropped and words carry an end mark, or spaces belong to the words after them
-        self.end_mark = model["model"].get("end_of_word_suffix")
-        vocab = model["model"]["vocab"]
+        self.end_mark = self.tokenizer.model.end_of_word_suffix
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         flag = (lambda p: p.endswith(self.end_mark)) if self.end_mark else (lambda p: p[0] == "Ġ")
         self.edge = np.zeros(max(vocab.values()) + 1, bool)
         self.edge[[i for p, i in vocab.items() if flag(p)]] = True

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqlens.llm.base import tidy
 from seqlens.llm.tokens import text_of
 
 SAMPLE = 20_000        # labelled rows that mining and training read at most
@@ -72,7 +73,7 @@ class Known(dict):
         self.numbers = numbers
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         got = self[word] = tuple(self.numbers[f] for f in word_features(word) if f in self.numbers)
         return got
@@ -96,7 +97,7 @@ def _count_features(batches: Iterator[pd.DataFrame]):
         for t, y in zip(pdf["text"], pdf["toxic"]):
             words = set(_WORD.findall(text_of(t).lower()))
             (pos if y else neg).update({f for w in words for f in word_features(w)})
-        if len(pos) + len(neg) > 500_000:
+        if len(pos) + len(neg) > 200_000:
             yield _counts(pos, neg)
             pos, neg = Counter(), Counter()
     if pos or neg:
@@ -125,7 +126,7 @@ def _vote_rows(numbers: dict[str, int]):
                 ids.append(known.of(t))
                 shows.append([int(not x.isdisjoint(words)) for x in lists] + [int(bool(x.search(t))) for x in SHAPES.values()])
             yield pd.DataFrame({"toxic": pdf["toxic"], "ids": ids, "fixed": shows})
-    return run
+    return tidy(run)
 
 
 def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict]:
@@ -202,7 +203,7 @@ class ToxicityModel:
                 z = [bias + float(w[known.of(text_of(t))].sum()) if t else bias for t in pdf["text"]]
                 yield pd.DataFrame({"id": pdf["id"], "score": 1 / (1 + np.exp(-np.clip(z, -40, 40)))})
         d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-        return d.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, score double")
+        return d.mapInPandas(tidy(run), f"id {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE
@@ -274,8 +275,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def run(batches):
         known = Known(numbers)
         for batch in batches:
-            z = [bias + float(w[known.of(text_of(t.as_py()))].sum()) for t in batch.column(at)]
-            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(np.array(z), -40, 40))) < threshold))
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                z = [bias + float(w[known.of(text_of(t.as_py()))].sum()) for t in part.column(at)]
+                yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(np.array(z), -40, 40))) < threshold))
     raw = docs.select(*[F.col(f"`{c}`").cast("binary").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
-    out = raw.mapInArrow(run, raw.schema)
+    out = raw.mapInArrow(tidy(run), raw.schema)
     return out.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
