@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlens.llm.base import narrow, same, settle, tidy
+from seqlens.llm.base import broadcast_if_small, narrow, same, settle, tidy
 from seqlens.llm.components import connected_components
 from seqlens.llm.shingles import batched, coefficients, minhashes, mix, shingle_set, word_hashes
 
@@ -46,7 +46,7 @@ def _sketcher(words: int, m: int, r: int, seed: int):
     def run(batches):
         a, b = coefficients(2 * m * r, seed)
 
-        def sketch(ids, sets):
+        def sketch(ids, hs, sets):
             n = np.fromiter(map(len, sets), np.int64, len(sets))
             some = [s for s in sets if len(s)]
             small = np.zeros((len(sets), 2 * m), np.uint64)
@@ -59,13 +59,13 @@ def _sketcher(words: int, m: int, r: int, seed: int):
                 small[n > 0] = h
                 fold[n > 0] = [_fold(s) for s in some]
             small, fold = small.view(np.int64), fold.view(np.int64)
-            return pd.DataFrame({"id": ids, "n": n, "s1": fold[:, 0], "s2": fold[:, 1],
+            return pd.DataFrame({"id": ids, "h": hs, "n": n, "s1": fold[:, 0], "s2": fold[:, 1],
                                  "small": [list(x) if k else [] for x, k in zip(small, n)]})
 
         for pdf in batches:
-            for part in batched(zip(pdf["id"], pdf["text"]), lambda r: len(r[1] or b"")):
-                sets = [shingle_set(w, words) for w in word_hashes([t for _, t in part])]
-                yield sketch(pd.array([i for i, _ in part], "Int64"), sets)
+            for part in batched(zip(pdf["id"], pdf["h"], pdf["text"]), lambda r: len(r[2] or b"")):
+                sets = [shingle_set(w, words) for w in word_hashes([t for _, _, t in part])]
+                yield sketch(pd.array([i for i, _, _ in part], "Int64"), [h for _, h, _ in part], sets)
     return tidy(run)
 
 
@@ -143,28 +143,18 @@ def cross_pairs(cand: DataFrame, roots: DataFrame, sets: DataFrame, percent: int
     return by_rare.unionAll(by_key.select(F.least("l_c", "c").alias("a"), F.greatest("l_c", "c").alias("b"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-                    similarity: float = 0.8, m: int = 10, r: int = 2, seed: int = 7) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, one row per input row.
-
-    Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lowered; the set
-    is the distinct ``words``-word shingles, or the whole sequence as one
-    shingle when there are fewer words.  Rows link when 100 * intersection >=
-    (100 * similarity) * union.  ``component_id`` is the smallest id reachable,
-    and a row is kept if that is its own id.
-
-    Defined results: null, empty or blank text: n_shingles 0, linked with
-    nothing, kept.  Every row is a document of its own, so rows that repeat an
-    id link only through their texts.  A null id is larger than any id; a
-    component of null ids only has component_id null and keeps its rows.
-    Empty table: empty result.  Ids must be integers.
-    """
+def _linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
+            m: int = 10, r: int = 2, seed: int = 7) -> DataFrame:
+    """``(id, h, n, low)``, one row per input row; ``h`` is a hash of the text, ``low`` the first (z, id, h) of the
+    component (null ids, marked z, come last), null without shingles."""
     percent = round(100 * similarity)
     d = narrow(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"),
                                                       F.col("text").cast("binary").alias("text"))
-    sk = settle(d.mapInPandas(_sketcher(words, m, r, seed), "id long, n long, s1 long, s2 long, small array<long>")
+    sk = settle(d.select("id", F.xxhash64("text").alias("h"), "text")
+                .mapInPandas(_sketcher(words, m, r, seed), "id long, h long, n long, s1 long, s2 long, small array<long>")
                 .withColumn("c", F.when(F.col("n") > 0, _class_key())))
-    classes = settle(sk.where("n > 0").groupBy("c", "n").agg(F.first("small").alias("small"), F.min("id").alias("id")))
+    classes = settle(sk.where("n > 0").groupBy("c", "n").agg(F.first("small").alias("small"), F.min("id").alias("id"),
+                                                              F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("low")))
 
     # tensored keys, from the small hashes that some other class shares
     flat = classes.select("c", "n", F.posexplode("small").alias("p", "h"))
@@ -198,22 +188,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = edges.unionAll(_confirm(second.join(done, ["a", "b"], "left_anti"), sets, percent))
 
-    # component of each class, and the smallest id in it
+    # component of each class, and the first row in it
     roots = connected_components(edges).select(F.col("node").alias("c"), "root")
-    of = classes.select("c", "id").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    low = of.groupBy("root").agg(F.min("id").alias("low"))
+    of = classes.select("c", "low").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    low = of.groupBy("root").agg(F.min("low").alias("low"))
     of = of.select("c", "root").join(low, "root").select("c", "low")
-    out = sk.join(of, "c", "left")
-    comp = F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id"))
+    return sk.select("id", "h", "n", "c").join(of, "c", "left").select("id", "h", "n", "low")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
+                    similarity: float = 0.8, m: int = 10, r: int = 2, seed: int = 7) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)``, one row per input row.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lowered; the set
+    is the distinct ``words``-word shingles, or the whole sequence as one
+    shingle when there are fewer words.  Rows link when 100 * intersection >=
+    (100 * similarity) * union.  ``component_id`` is the smallest id reachable,
+    and a row is kept if that is its own id.
+
+    Defined results: null, empty or blank text: n_shingles 0, linked with
+    nothing, kept.  Every row is a document of its own, so rows that repeat an
+    id link only through their texts.  A null id is larger than any id; a
+    component of null ids only has component_id null and keeps its rows.
+    Empty table: empty result.  Ids must be integers.
+    """
+    out = _linked(docs, id_col, text_col, words, similarity, m, r, seed)
+    comp = F.when(F.col("n") > 0, F.col("low.id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"),
                       F.col("id").eqNullSafe(comp).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns.
+    """One row of each component of ``near_duplicates``, with all its columns, and the rows without shingles.
 
-    Rows with a null id stay; ids are expected to be unique (a repeated id
-    goes when any of its rows goes).
+    The row that stays is the first by (id, hash of the text), null ids last;
+    of rows equal in both any one.  Rows that share an id only are judged
+    each by its own text.
     """
-    gone = near_duplicates(docs, id_col, text_col, **kw).where("NOT kept").select(F.col("doc_id").alias("__seqlens_gone"))
-    return docs.join(gone.distinct(), docs[id_col].cast("long") == F.col("__seqlens_gone"), "left_anti")
+    rows = settle(_linked(docs, id_col, text_col, **kw).where("n > 0").withColumn(
+        "stays", F.col("id").eqNullSafe(F.col("low.id")) & (F.col("h") == F.col("low.h"))).select("id", "h", "stays"))
+    names = {"id": "__seqlens_i2", "h": "__seqlens_h2"}
+    gone = broadcast_if_small(settle(rows.where("NOT stays").select("id", "h").distinct().withColumnsRenamed(names)))
+    again = settle(rows.where("stays").groupBy("id", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+                   .select("id", "h").withColumnsRenamed(names))
+    on = same(F.col("__seqlens_id"), F.col("__seqlens_i2")) & (F.col("__seqlens_h") == F.col("__seqlens_h2"))
+    left = docs.withColumns({"__seqlens_id": F.col(f"`{id_col}`").cast("long"),
+                             "__seqlens_h": F.xxhash64(F.col(f"`{text_col}`").cast("binary"))}).join(gone, on, "left_anti")
+    if again.limit(1).count():  # equal rows: one of each
+        again = broadcast_if_small(again)
+        left = left.join(again, on, "left_anti").unionAll(
+            left.join(again, on, "left_semi").dropDuplicates(["__seqlens_id", "__seqlens_h"]))
+    return left.drop("__seqlens_id", "__seqlens_h")

@@ -77,6 +77,19 @@ def test_kept_rows_repeats_and_nulls(spark):
     assert {r.doc_id for r in left.collect()} == {3, 9, None}
 
 
+def test_one_row_of_each_group_stays(spark):
+    t, u = "a b c d e f g h", "p q r s t u v w"
+    own = [f"{x}1 {x}2 {x}3 {x}4 {x}5 {x}6" for x in "klmn"]
+    rows = [(1, t, 0), (1, t, 1), (2, t, 2), (None, t, 3), (None, u, 4), (None, u, 5), (2, own[0], 6), (4, own[1], 7),
+            (4, own[2], 8), (None, own[3], 9), (None, None, 10), (None, None, 11), (8, "", 12), (8, "", 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h int")
+    left = drop_near_duplicates(df)
+    assert left.columns == df.columns
+    got = sorted(r.h for r in left.collect())
+    assert len([x for x in got if x < 2]) == 1 and len([x for x in got if x in (4, 5)]) == 1
+    assert [x for x in got if x not in (0, 1, 4, 5)] == [6, 7, 8, 9, 10, 11, 12, 13]
+
+
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 

@@ -86,6 +86,16 @@ def test_edge_rows_and_empty_tables(spark):
     assert 5 in got and got[5].startswith("w0 w1 ") and 4 not in got and 3 not in got and 2 not in got
 
 
+def test_repeated_ids_keep_their_text(spark):
+    docs = edge_rows(spark)
+    prose = docs.where("doc_id = 100").first().text
+    stages = dict(corpus_pipeline.STAGES)
+    single = spark.createDataFrame(stages["near_dedup"](spark, docs, SF001).collect(), docs.schema)
+    cut = stages["repeated_strings"](spark, single, SF001).collect()
+    assert [r.text for r in cut if r.doc_id == 1] == [prose]
+    assert not [r for r in cut if r.doc_id == 100 or r.doc_id is None and r.text]
+
+
 def test_queries_on_edge_rows(spark, tmp_path):
     from seqlens.llm import entry
     for name, docs in (("edge", edge_rows(spark)), ("none", edge_rows(spark).limit(0))):
