@@ -49,9 +49,9 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens, with their token ids."""
     small_batches(spark)
-    return pack(docs, with_ids=False)
+    return pack(docs)
 
 
 STAGES = [("toxicity", toxicity), ("quality_rules", quality_rules), ("near_dedup", near_dedup),

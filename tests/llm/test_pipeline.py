@@ -1,4 +1,5 @@
 import hashlib
+import zlib
 
 import corpus_pipeline
 from seqlens.llm.packing import _packer  # noqa: F401  the last stage's tokenizer is exercised below
@@ -86,6 +87,12 @@ def test_edge_rows_and_empty_tables(spark):
     assert 5 in got and got[5].startswith("w0 w1 ") and 4 not in got and 3 not in got and 2 not in got
 
 
+def test_packing_keeps_the_token_ids(spark):
+    docs = edge_rows(spark).where("doc_id IN (1, 7)")
+    rows = dict(corpus_pipeline.STAGES)["packing"](spark, docs, SF001).collect()
+    assert rows and all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in rows)
+
+
 def test_repeated_ids_keep_their_text(spark):
     docs = edge_rows(spark)
     prose = docs.where("doc_id = 100").first().text
