@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +83,8 @@ def tidy(run):
         finally:
             release()
     return wrapped
+
+
+def numbers(column: pd.Series) -> pd.Series:
+    """Whole numbers that came as text (pandas would turn those beside nulls into doubles) as a nullable column."""
+    return pd.Series([None if x is None else int(x) for x in column], dtype="Int64")

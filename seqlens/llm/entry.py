@@ -70,10 +70,15 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=4)
 
 
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlens.llm.prefixbpe import encode_decode
+    return encode_decode(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_kd_shards, op2_quality_rules, op3_packing, op4_sentencepiece_nbest,
     op5_paragraph_dedup, op6_suffix_array_dedup, op7_orc_token_ids,
-    op8_bm25_top_k, op9_toxicity, op10_minhash_neardup)}
+    op8_bm25_top_k, op9_toxicity, op10_minhash_neardup, op13_prefix_bpe)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.SQL, "op8_bm25_top_k": bm25.SQL}
 
 

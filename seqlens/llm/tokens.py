@@ -7,7 +7,8 @@ are the ids of its chunks in a row; ``tests/llm/test_tokens.py`` compares them
 with ``Tokenizer.encode`` of the whole text.  Chunks of a batch are found and
 hashed (64 bits) with array operations, equal ones are looked up once, and the
 tokenizer sees only chunks it hasn't seen lately, run together in one call.
-Texts with other white space than ASCII's go to the tokenizer as they are.
+Texts with other white space than ASCII's, or with the string of a special
+token (one id, as the library reads it by default), go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -45,7 +46,11 @@ class ChunkIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: strings that the library takes out of a text before anything else
+        self.added = {str(t.content): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        strings = [t.encode() for t in self.added]
+        self.odd = re.compile(b"|".join([_ODD.pattern, *map(re.escape, strings)]))
+        self.odd_pairs = (*_ODD_PAIRS, *{int.from_bytes((t + b"\0")[:2], "big") for t in strings})
         #: white space is dropped and words carry an end mark, or spaces belong to the words after them
         self.end_mark = self.tokenizer.model.end_of_word_suffix
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -80,7 +85,7 @@ class ChunkIds:
         return out + self._batch(part) if part else out
 
     def _batch(self, texts: list[bytes]) -> list[bytes]:
-        odd = {i: t for i, t in enumerate(texts) if _ODD.search(t)} if _any_odd(b"".join(texts)) else {}
+        odd = {i: t for i, t in enumerate(texts) if self.odd.search(t)} if _any_odd(b"".join(texts), self.odd_pairs) else {}
         got = None
         if not odd:
             try:
@@ -90,11 +95,14 @@ class ChunkIds:
         if odd:
             got = self._plain([b"" if i in odd or not _is_utf8(t) else t for i, t in enumerate(texts)])
             odd = {i: t for i, t in enumerate(texts) if i in odd or not _is_utf8(t)}
-            for i, e in zip(odd, self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in odd.values()],
-                                                             add_special_tokens=False)):
-                got[i] = array("I", e.ids).tobytes()
+            for i, x in zip(odd, self._whole([t.decode("utf-8", "replace") for t in odd.values()])):
+                got[i] = x
         return got
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that aren't cut."""
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
     def _cuts(self, texts: list[bytes], buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, end) of the chunks; none spans two texts."""
         space = _SPACE[buf]
@@ -182,8 +190,8 @@ class ChunkIds:
         others = [i for i, x in enumerate(out) if x is None]
         for at in range(0, len(others), 5_000):
             part = others[at:at + 5_000]
-            for i, e in zip(part, self.tokenizer.encode_batch([chunks[i] for i in part], add_special_tokens=False)):
-                out[i] = array("I", e.ids).tobytes()
+            for i, x in zip(part, self._whole([chunks[i] for i in part])):
+                out[i] = x
         return out
 
     def _run(self, words: list[str]) -> list[bytes] | None:
@@ -207,14 +215,17 @@ def _is_utf8(raw: bytes) -> bool:
     return True
 
 
-def _any_odd(raw: bytes) -> bool:
-    """Whether a batch may hold one of ``_ODD`` (array comparisons; the expression is only run where this says so)."""
+_ODD_PAIRS = (0xC285, 0xC2A0, 0xC4B0, 0xE19A, 0xE280, 0xE281, 0xE380)  # how the longer ones begin
+
+
+def _any_odd(raw: bytes, pairs: tuple[int, ...] = _ODD_PAIRS) -> bool:
+    """Whether a batch may hold an odd string that begins so (array comparisons; the expression is only run where this says so)."""
     b = np.frombuffer(raw + b"\0\0", np.uint8)
     low = b[:-2]
     if ((low - np.uint8(0x1C)) < 4).any():
         return True
     pair = low.astype(np.uint16) << 8 | b[1:-1]
-    return any((pair == x).any() for x in (0xC285, 0xC2A0, 0xC4B0, 0xE19A, 0xE280, 0xE281, 0xE380))
+    return any((pair == x).any() for x in pairs)
 
 
 @functools.cache

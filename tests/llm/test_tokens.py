@@ -11,6 +11,7 @@ from seqlens.llm.tokens import ChunkIds, tokenizer_path
 TEXTS = ["", "one", " lead", "trail  ", "a  b\n\n c\t\td", "don't  stop　now\x85x\xa0y", "é́ ΑΣ ΑΣ. Σ", "x" * 5000,
          "<|endoftext|> <|startoftext|>hi", "\n\n\n", " \n \t ", "日本 語 12345 67", "a\x1cb \x1f c​d", "tab\t word",
          "word " * 20000, "!!! ??? '' 's 're", " para  x y", "\x00 nul", "﻿bom é"]
+TEXTS += ["a<|endoftext|>b <|endoftext|>", "<|startoftext|>", "x <| endoftext|> <|y|>"]
 TEXTS += ["\u0130stanbul \u0130. \u01c5 \ufb01 x\u00b2 \u00bd. a\u00b7b", "Word word, WORD; na\u00efve. Stra\u00dfe! \u6771\u4eac. \u0661\u0662\u0663, x.",
           "it's. can't, 'Tis; y'all'd.", "\u0930\u093e\u092e, \u0e44\u0e17\u0e22. e\u0301. ok"]
 DOCS = [(i, t) for i, t in enumerate(TEXTS)] + [(None, None), (None, "no id"), (2, "again"), (1, "one")]
@@ -19,7 +20,6 @@ DOCS = [(i, t) for i, t in enumerate(TEXTS)] + [(None, None), (None, "no id"), (
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_chunks_equal_whole_texts(name):
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     chunks = ChunkIds(tokenizer_path(name), limit=5)
     for x in TEXTS + TEXTS[::-1]:
         assert np.frombuffer(chunks.encode(x), np.uint32).tolist() == t.encode(x, add_special_tokens=False).ids
@@ -35,7 +35,6 @@ def test_broken_utf8_and_batches():
 
 def whole(name, end=2):
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return [(i, t.encode(x or "", add_special_tokens=False).ids + [end]) for i, x in DOCS]
 
 
