@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlens.llm import bm25, quality
+from seqlens.llm import bm25, hybridrank, quality
 from seqlens.llm.base import documents
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,11 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=4)
 
 
+def op11_hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlens.llm.hybridrank import rank_documents
+    return rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlens.llm.prefixbpe import encode_decode
     return encode_decode(documents(spark, sf_dir))
@@ -78,8 +83,9 @@ def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_kd_shards, op2_quality_rules, op3_packing, op4_sentencepiece_nbest,
     op5_paragraph_dedup, op6_suffix_array_dedup, op7_orc_token_ids,
-    op8_bm25_top_k, op9_toxicity, op10_minhash_neardup, op13_prefix_bpe)}
-ORACLES: dict[str, str] = {"op2_quality_rules": quality.SQL, "op8_bm25_top_k": bm25.SQL}
+    op8_bm25_top_k, op9_toxicity, op10_minhash_neardup, op11_hybrid_rank, op13_prefix_bpe)}
+ORACLES: dict[str, str] = {"op2_quality_rules": quality.SQL, "op8_bm25_top_k": bm25.SQL,
+                           "op11_hybrid_rank": hybridrank.SQL}
 
 
 def queries() -> dict[str, QueryFn]:
