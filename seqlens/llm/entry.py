@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlens.llm import bm25, hybridrank, quality
+from seqlens.llm import bm25, hybridrank, phrases, quality
 from seqlens.llm.base import documents
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,11 @@ def op11_hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from seqlens.llm.phrases import collocations
+    return collocations(documents(spark, sf_dir))
+
+
 def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from seqlens.llm.prefixbpe import encode_decode
     return encode_decode(documents(spark, sf_dir))
@@ -83,9 +88,9 @@ def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_kd_shards, op2_quality_rules, op3_packing, op4_sentencepiece_nbest,
     op5_paragraph_dedup, op6_suffix_array_dedup, op7_orc_token_ids,
-    op8_bm25_top_k, op9_toxicity, op10_minhash_neardup, op11_hybrid_rank, op13_prefix_bpe)}
+    op8_bm25_top_k, op9_toxicity, op10_minhash_neardup, op11_hybrid_rank, op12_phrases, op13_prefix_bpe)}
 ORACLES: dict[str, str] = {"op2_quality_rules": quality.SQL, "op8_bm25_top_k": bm25.SQL,
-                           "op11_hybrid_rank": hybridrank.SQL}
+                           "op11_hybrid_rank": hybridrank.SQL, "op12_phrases": phrases.SQL}
 
 
 def queries() -> dict[str, QueryFn]:
