@@ -42,9 +42,10 @@ def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from seqlens.llm.runindex import remove_repeats
-    return remove_repeats(documents(spark, sf_dir).select("doc_id", "text")).select(
-        "doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"),
+    from seqlens.llm.runindex import kept_text, remove_repeats
+    out = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select(
+        "doc_id", F.coalesce(kept_text(out, "text"), F.lit("")).alias("text"), F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"),
         F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
