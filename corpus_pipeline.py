@@ -41,10 +41,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs)
 
 
+#: fifty words of a language that is written with short ones
+REPEAT_BYTES = 200
+
+
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur elsewhere are cut out; ``n_chars`` follows the text."""
+    """Strings of ``REPEAT_BYTES`` bytes are cut out but in their first place; ``n_chars`` follows the text."""
     small_batches(spark)
-    out = drop_repeats(docs)
+    out = drop_repeats(docs, length=REPEAT_BYTES, keep_first=True)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
