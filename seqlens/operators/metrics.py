@@ -33,13 +33,8 @@ def _curve(scores: DataFrame, by=None, y: str = "y", p: str = "p") -> DataFrame:
     """Cumulative positives/negatives at each distinct threshold (p >= t)."""
     by = _by(by)
     g = score_groups(scores, by, y, p)
-    cum = cumulative(g, "p", ["pos", "neg"], by=by, descending=True)
-    # totals from the checkpointed range table: the score input is read once
-    tot = cum.groupBy(*by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    if by:
-        return join_small(cum, tot, by)
-    s = stats_row(tot)
-    return cum.select("*", s["_P"].alias("_P"), s["_N"].alias("_N"))
+    return cumulative(g, "p", ["pos", "neg"], by=by, descending=True, totals=True).withColumnsRenamed(
+        {"all_pos": "_P", "all_neg": "_N"})
 
 
 def pr_points(scores: DataFrame, by=None, y: str = "y", p: str = "p") -> DataFrame:

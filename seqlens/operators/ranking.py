@@ -1,50 +1,102 @@
 """Global running sums, average ranks and exact quantiles without a hot task.
 
 ``Window.orderBy`` with no partition moves every row into one task.  Instead
-(SURVEY 4.3): pre-aggregate to distinct values, range-partition on
-(by, order), freeze the partition ids with a reliable checkpoint, take
-running sums inside each range partition, and add the exclusive prefix of
-the per-partition totals (a table with one row per partition and group).
-Every step is a distributed DataFrame operation; nothing is collected.
+(SURVEY 4.3) the values are cut to ``RANGES`` ranges, and a row's range is a
+function of its value alone: the bounds are approximate quantiles, taken once
+as a scalar subquery, and found again by comparisons.  Sums inside a range,
+the exclusive prefix of the ranges' totals (a table of at most ``RANGES`` rows
+a group) and the running sum inside the range give the global running sum.
+Nothing has to be frozen, collected or checkpointed: a task that runs again
+finds the same ranges.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from seqlens.functions.util import join_small
-from seqlens.session import cut_lineage
-
-
-def _n_parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+from pyspark.sql import types as T
+
+from seqlens.functions.util import stats_row
+
+STEP = 16
+RANGES = STEP ** 3      # ranges of a table; each holds about as many rows
+_ACCURACY = 2 * RANGES  # a range is off by half its size at most
+
+
+def position(c: Column, kind: T.DataType) -> Column:
+    """A double that never falls where ``c`` rises in Spark's order (equal values give equal ones)."""
+    if isinstance(kind, T.StructType):
+        return position(c[kind.fields[0].name], kind.fields[0].dataType)
+    if isinstance(kind, T.StringType):  # its first six bytes
+        x = F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    elif isinstance(kind, T.DateType):
+        x = F.unix_date(c).cast("double")
+    elif isinstance(kind, T.TimestampType):
+        x = F.unix_micros(c).cast("double")
+    elif isinstance(kind, (T.NumericType, T.BooleanType)):
+        x = c.cast("double")
+        x = F.when(F.isnan(x), F.lit(float("inf"))).otherwise(x)
+    else:
+        raise TypeError(f"no ranges for columns of type {kind.simpleString()}")
+    return F.coalesce(x, F.lit(float("-inf")))
+
+
+def value_ranges(df: DataFrame, order: str, name: str = "_range") -> DataFrame:
+    """``df`` with the range (0 to ``RANGES`` - 1, rising with ``order``) of each row.
+
+    Equal values lie in one range.  The subquery of the bounds reads all columns,
+    so that it shares the shuffle of an aggregated ``df`` with what follows.
+    """
+    pos = position(F.col(order), df.schema[order].dataType)
+    shares = F.expr("array(" + ", ".join(f"{i / RANGES}D" for i in range(1, RANGES)) + ")")
+    bounds = df.select(pos.alias("_p"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)]).agg(
+        F.percentile_approx("_p", shares, _ACCURACY).alias("fine"), *[F.max(f"_c{i}").alias(f"_c{i}") for i in range(len(df.columns))])
+    each = lambda n: F.filter("fine", lambda _, i: (i + 1) % n == 0)
+    b = F.col("_b")  # a column, as a lambda can't hold a subquery itself
+    passed = lambda x: F.size(F.filter(x, lambda v: v <= F.col("_p")))
+    out = df.withColumn("_p", pos).withColumn(
+        "_b", stats_row(bounds.withColumns({"mid": each(STEP), "top": each(STEP * STEP)})))
+    out = out.withColumn("_k", passed(b["top"]))
+    out = out.withColumn("_k", F.col("_k") * STEP + passed(F.slice(b["mid"], F.col("_k") * STEP + 1, F.lit(STEP - 1))))
+    out = out.withColumn("_k", F.col("_k") * STEP + passed(F.slice(b["fine"], F.col("_k") * STEP + 1, F.lit(STEP - 1))))
+    return out.withColumn(name, F.col("_k")).drop("_p", "_k", "_b")
+
+
+def _before(ranged: DataFrame, values: list[str], by: list[str], descending: bool = False) -> DataFrame:
+    """(by..., _range, _t_<v>, _o_<v>, _a_<v>): what lies in a range, before it and in all; at most ``RANGES`` rows a group."""
+    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy(F.col("_range").desc() if descending else F.col("_range").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("*", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values],
+                         *[F.sum(f"_t_{v}").over(group).alias(f"_a_{v}") for v in values])
+
+
+def _matched(left: DataFrame, right: DataFrame, by: list[str], on: list[str]) -> DataFrame:
+    """Inner join on ``by`` (null groups too) and ``on`` (never null), ``right``'s copies dropped."""
+    r = right.withColumnsRenamed({c: f"_n_{c}" for c in [*by, *on]})
+    cond = [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in by] + [F.col(c) == F.col(f"_n_{c}") for c in on]
+    return left.join(r, cond).drop(*[f"_n_{c}" for c in [*by, *on]])
 
 
 def cumulative(df: DataFrame, order: str, values: list[str], by: list[str] | None = None,
-               descending: bool = False, n_parts: int | None = None) -> DataFrame:
-    """Inclusive running sums ``cum_<v>`` of ``values`` ordered by ``order``.
+               descending: bool = False, totals: bool = False) -> DataFrame:
+    """Inclusive running sums ``cum_<v>`` of ``values`` ordered by ``order``; with ``totals`` the groups' sums ``all_<v>`` too.
 
-    ``df`` must be unique on ``by + [order]`` (aggregate first).  Within each
-    ``by`` group rows are ordered by ``order`` (descending if asked).
+    ``df`` must be unique on ``by + [order]`` (aggregate first) and the same
+    when it is read again.  Within each ``by`` group rows are ordered by
+    ``order`` (descending if asked), as Spark orders nulls and NaN.
     """
     by = list(by or [])
+    ranged = value_ranges(df, order).withColumn("_row", F.lit(1))
+    # a range's first row brings what lies before it, so nothing is joined
+    first = _before(ranged, values, by, descending).select(
+        *by, "_range", F.lit(0).alias("_row"), *[F.col(f"_o_{v}").alias(v) for v in values], *[f"_a_{v}" for v in values])
     o = F.col(order).desc() if descending else F.col(order).asc()
-    ranged = (df.repartitionByRange(n_parts or _n_parts(df), *[F.col(b) for b in by], o)
-                .withColumn("_pid", F.spark_partition_id()))
-    ranged = cut_lineage(ranged)  # freezes _pid; survives executor loss
-    totals = ranged.groupBy("_pid", *by).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    before = (Window.partitionBy(*by).orderBy("_pid")
-              .rowsBetween(Window.unboundedPreceding, -1)) if by else \
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *by, *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0))
-                                           .alias(f"_o_{v}") for v in values])
-    local = Window.partitionBy("_pid", *by).orderBy(o).rowsBetween(Window.unboundedPreceding,
-                                                                  Window.currentRow)
-    loc = ranged.select("*", *[F.sum(v).over(local).alias(f"_l_{v}") for v in values])
-    out = loc.join(offsets, ["_pid", *by])
-    return out.select(*[c for c in df.columns],
-                      *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in values])
+    upto = Window.partitionBy(*by, "_range").orderBy("_row", o).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = ranged.unionByName(first, allowMissingColumns=True)
+    out = both.select("*", *[F.sum(v).over(upto).alias(f"cum_{v}") for v in values],
+                      *[F.first(f"_a_{v}").over(upto).alias(f"all_{v}") for v in values if totals])
+    return out.where("_row = 1").drop("_range", "_row", *[f"_a_{v}" for v in values])
 
 
 def value_counts_long(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
@@ -72,8 +124,8 @@ def quantiles(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | N
     """Exact quantiles with linear interpolation (pandas / numpy default).
 
     Long output ``(by..., column, q, value)``.  The value at 0-based index
-    ``i`` is found from cumulative counts of distinct values; the small
-    (group, column, q) target table is broadcast after a check of its size.
+    ``i`` is found from the counts of distinct values: the totals of the
+    ranges tell in which range it lies, and only such ranges are ordered.
     """
     by = list(by or [])
     return quantiles_of_counts(value_counts_long(df, cols, by), qs, by)
@@ -82,25 +134,30 @@ def quantiles(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | N
 def quantiles_of_counts(vc: DataFrame, qs: list[float], by: list[str] | None = None) -> DataFrame:
     """:func:`quantiles` of values that are already counted: ``(by..., column, value, n)``."""
     by = list(by or [])
-    cum = cumulative(vc, "value", ["n"], by=[*by, "column"])
-    sizes = cum.groupBy(*by, "column").agg(F.sum("n").alias("_size"))
-    qarr = F.array(*[F.lit(float(q)) for q in qs])
+    keys = [*by, "column"]
+    ranged = value_ranges(vc, "value")
+    part = _before(ranged, ["n"], keys).withColumn("_end", F.col("_o_n") + F.col("_t_n"))
+    size = part.groupBy(*keys).agg(F.first("_a_n").alias("_size"))
     # targets: one row per (group, column, q); bounded by groups x columns x len(qs)
-    targets = (sizes.select(*by, "column", "_size", F.explode(qarr).alias("q"))
-                    .withColumn("_h", (F.col("_size") - 1) * F.col("q"))
-                    .withColumn("_lo", F.floor("_h").cast("long"))
-                    .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_size") - 1))
-                    .withColumn("_frac", F.col("_h") - F.col("_lo")))
-    c = cum.withColumn("_start", F.col("cum_n") - F.col("n"))
-    hit_lo = (F.col("_lo") >= F.col("_start")) & (F.col("_lo") < F.col("cum_n"))
-    hit_hi = (F.col("_hi") >= F.col("_start")) & (F.col("_hi") < F.col("cum_n"))
-    j = join_small(c, targets, [*by, "column"]).where(hit_lo | hit_hi)
-    g = j.groupBy(*by, "column", "q").agg(
-        F.max(F.when(hit_lo, F.col("value"))).alias("_vlo"),
-        F.max(F.when(hit_hi, F.col("value"))).alias("_vhi"),
+    h = (F.col("_size") - 1) * F.col("q")
+    targets = size.select(*keys, "_size", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")).select(
+        *keys, "q", F.floor(h).cast("long").alias("_lo"), F.least(F.floor(h).cast("long") + 1, F.col("_size") - 1).alias("_hi"),
+        (h - F.floor(h)).alias("_frac"))
+    asked = _matched(part, targets, keys, [])
+    inside = lambda i: (F.col(i) >= F.col("_o_n")) & (F.col(i) < F.col("_end"))
+    asked = asked.where(inside("_lo") | inside("_hi"))
+    # only the ranges that hold a target are put in order: a few rows of ``RANGES``
+    few = asked.groupBy(*keys, "_range").agg(F.first("_o_n").alias("_o_n"),
+                                             F.collect_list(F.struct("q", "_lo", "_hi", "_frac")).alias("_asked"))
+    rows = _matched(ranged, few, keys, ["_range"])
+    local = Window.partitionBy(*keys, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_end", F.sum("n").over(local) + F.col("_o_n")).withColumn("_start", F.col("_end") - F.col("n"))
+    rows = rows.select(*keys, "value", "_start", "_end", F.inline("_asked"))
+    hit = lambda i: (F.col(i) >= F.col("_start")) & (F.col(i) < F.col("_end"))
+    g = rows.where(hit("_lo") | hit("_hi")).groupBy(*keys, "q").agg(
+        F.max(F.when(hit("_lo"), F.col("value"))).alias("_vlo"), F.max(F.when(hit("_hi"), F.col("value"))).alias("_vhi"),
         F.first("_frac").alias("_frac"))
-    return g.select(*by, "column", "q",
-                    (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
+    return g.select(*keys, "q", (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("value"))
 
 
 def quantile_wide(df: DataFrame, cols: list[str], qs: list[float], by: list[str] | None = None,

@@ -1,12 +1,14 @@
 """Distributed metrics against brute force on small random fixtures."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from seqlens.operators import metrics as M
 from seqlens.operators import threshold as T
-from seqlens.operators.ranking import average_ranks, cumulative, quantiles
+from seqlens.operators.corr import spearman_matrix
+from seqlens.operators.ranking import RANGES, average_ranks, cumulative, quantiles, value_ranges
 
 
 def brute_ap(y, p):
@@ -75,7 +77,7 @@ def test_cumulative_matches_cumsum(spark):
     vals = rng.choice(10000, 500, replace=False)
     w = rng.integers(1, 5, 500)
     df = spark.createDataFrame([(int(a), int(b), int(a) % 3) for a, b in zip(vals, w)], "v long, w long, g int")
-    got = {(r["g"], r["v"]): r["cum_w"] for r in cumulative(df, "v", ["w"], by=["g"], n_parts=7).collect()}
+    got = {(r["g"], r["v"]): r["cum_w"] for r in cumulative(df, "v", ["w"], by=["g"]).collect()}
     for g in range(3):
         sub = sorted((int(a), int(b)) for a, b in zip(vals, w) if int(a) % 3 == g)
         run = 0
@@ -84,6 +86,46 @@ def test_cumulative_matches_cumsum(spark):
             assert got[(g, a)] == run
 
 
+@pytest.mark.parametrize("kind", ["long", "double", "string", "date", "timestamp", "struct"])
+@pytest.mark.parametrize("descending", [False, True])
+def test_cumulative_of_every_kind(spark, kind, descending):
+    """Nulls, NaN, infinities, common prefixes, null groups and totals."""
+    values = [None, "-inf", "-3.5", "0", "1e-9", "2", "1e17", "inf", "nan"] if kind == "double" else [None, *map(str, range(-40, 400, 3))]
+    df = spark.createDataFrame([(v, g, i + 1) for i, v in enumerate(values) for g in ("a", None)], "s string, g string, w int")
+    v = {"long": F.col("s").cast("long"), "double": F.col("s").cast("double"), "string": F.concat(F.lit("prefix-"), "s"),
+         "date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("s").cast("int")), "timestamp": F.timestamp_micros(F.col("s").cast("long")),
+         "struct": F.struct(F.floor(F.col("s").cast("int") / 50).alias("x"), F.col("s").cast("int").alias("y"))}[kind]
+    df = df.withColumn("v", v)
+    out = cumulative(df, "v", ["w"], by=["g"], descending=descending, totals=True)
+    got = out.collect()
+    from pyspark.sql import Window
+    o = F.col("v").desc() if descending else F.col("v").asc()
+    want = df.withColumn("c", F.sum("w").over(Window.partitionBy("g").orderBy(o).rowsBetween(Window.unboundedPreceding, 0))).collect()
+    assert {(r.g, r.s): r.cum_w for r in got} == {(r.g, r.s): r.c for r in want} and len(got) == 2 * len(values)
+    assert {r.all_w for r in got} == {sum(range(1, len(values) + 1))}
+
+
+def test_ranges_are_even(spark):
+    df = spark.range(20_000).select(F.pow(F.col("id") / 1000.0, 9).alias("v"))
+    plan = cumulative(df.withColumn("w", F.lit(1)), "v", ["w"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "Range" in plan  # nothing is written out
+    sizes = [r["count"] for r in value_ranges(df, "v").groupBy("_range").count().collect()]
+    assert len(sizes) > RANGES * .9 and max(sizes) <= 4 * 20_000 / RANGES
+
+
+def test_spearman_with_nulls_matches_pandas(spark):
+    rng = np.random.default_rng(5)
+    x = pd.DataFrame({"a": rng.integers(0, 9, 300).astype(float), "b": rng.normal(size=300).round(1), "c": rng.normal(size=300), "d": rng.normal(size=300)})
+    x.loc[rng.random(300) < .3, "b"] = np.nan
+    x.loc[rng.random(300) < .2, "c"] = np.nan
+    x["d"] += x["a"]
+    rows = [tuple(None if v != v else float(v) for v in r) for r in x.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    want = x.corr(method="spearman")
+    got = {(r.a, r.b): r.spearman for r in spearman_matrix(df, list("abcd")).collect()}
+    assert len(got) == 16 and all(got[p, q] == pytest.approx(want.loc[p, q], abs=1e-9) for p in "abcd" for q in "abcd")
+
+
 def test_average_ranks_ties(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (3.0,)], "x double")
     got = {r["value"]: r["rank"] for r in average_ranks(df, ["x"]).collect()}
