@@ -69,13 +69,14 @@ def mismatches(df: DataFrame, a: str, b: str, keep=None) -> DataFrame:
 
 
 def mismatch_profile(df: DataFrame, a: str, b: str, spec: SequenceSpec = LAPS,
-                     top: int = 10) -> DataFrame:
+                     top: int = 10, rebuild=rebuild_label) -> DataFrame:
     """Mismatches by final-row flag, by direction, top groups, by category.
 
     Long form ``(facet, value, n)``: each mismatch names its four facets in
-    one array, so the rows are read and windowed once.
+    one array, so the rows are read and windowed once.  ``rebuild``:
+    :func:`rebuild_label_split` for hot sequences (also below).
     """
-    mm = mismatches(rebuild_label(df, spec, "_rb"), a, b)
+    mm = mismatches(rebuild(df, spec, "_rb"), a, b)
     pick = lambda facet, v: F.struct(F.lit(facet).alias("facet"), v.cast("string").alias("value"))
     facets = F.array(pick("final_row", F.col("is_final")),
                      pick("direction", F.concat_ws("->", F.col(a).cast("string"), F.col(b).cast("string"))),
@@ -86,9 +87,9 @@ def mismatch_profile(df: DataFrame, a: str, b: str, spec: SequenceSpec = LAPS,
     return c.where("facet <> 'top_group'").unionByName(best)
 
 
-def label_decision(df: DataFrame, a: str, b: str, spec: SequenceSpec = LAPS) -> DataFrame:
+def label_decision(df: DataFrame, a: str, b: str, spec: SequenceSpec = LAPS, rebuild=rebuild_label) -> DataFrame:
     """One row: agreement numbers and the recommended label."""
-    rb = rebuild_label(df, spec, "_rb")
+    rb = rebuild(df, spec, "_rb")
     m = same(a, b).cast("int")
     s = rb.agg(
         F.avg(m).alias("match_rate"),
@@ -107,9 +108,9 @@ def label_decision(df: DataFrame, a: str, b: str, spec: SequenceSpec = LAPS) ->
         F.when(keep, "USE_ORIGINAL").otherwise("USE_RECONSTRUCTED").alias("decision"))
 
 
-def sequence_groups(df: DataFrame, spec: SequenceSpec = LAPS) -> DataFrame:
+def sequence_groups(df: DataFrame, spec: SequenceSpec = LAPS, rebuild=rebuild_label) -> DataFrame:
     """Number of sequences, final rows and the rebuilt label on final rows."""
-    rb = rebuild_label(df, spec, "_rb")
+    rb = rebuild(df, spec, "_rb")
     return rb.agg(
         F.count_distinct(*spec.keys).cast("long").alias("n_sequences"),
         F.sum(F.col("is_final").cast("int")).cast("long").alias("n_final_rows"),
@@ -145,14 +146,17 @@ def label_comparison(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select(F.inline(rows))
 
 
-def rebuild_label_split(df: DataFrame, spec: SequenceSpec = LAPS, name: str = "label_rebuilt") -> DataFrame:
-    """Skew-safe :func:`rebuild_label`: next row found by an equi-join on
-    (sequence keys, row index + 1), so a very long sequence is spread over
-    the join's partitions instead of one window task."""
-    from seqlens.operators.temporal import dense_index
-    idx = dense_index(df, spec)
-    nxt = idx.select(*spec.keys, (F.col("_idx") - 1).alias("_idx"), F.col(spec.stint).alias("_next"))
-    j = idx.join(nxt, [*spec.keys, "_idx"], "left")
-    return (j.withColumn(name, F.coalesce((F.col("_next") > F.col(spec.stint)).cast("int"), F.lit(0)))
-             .withColumn("is_final", F.col("_next").isNull())
-             .select(*df.columns, name, "is_final"))
+def rebuild_label_split(df: DataFrame, spec: SequenceSpec = LAPS, name: str = "label_rebuilt",
+                        hot_rows: int | None = None) -> DataFrame:
+    """:func:`rebuild_label` for tables with hot sequences: their parts hold a copy of the row that follows."""
+    from seqlens.operators.halo import HOT_ROWS, with_neighbours
+    rows, parts = with_neighbours(df, spec, after=1, hot_rows=hot_rows or HOT_ROWS)
+    return rebuild_label(rows, parts, name).where("_own").drop("_own", "_part")
+
+
+def next_value_split(df: DataFrame, col: str, spec: SequenceSpec = LAPS, name: str | None = None,
+                     hot_rows: int | None = None) -> DataFrame:
+    """:func:`next_value` for tables with hot sequences."""
+    from seqlens.operators.halo import HOT_ROWS, with_neighbours
+    rows, parts = with_neighbours(df, spec, after=1, hot_rows=hot_rows or HOT_ROWS)
+    return next_value(rows, col, parts, name).where("_own").drop("_own", "_part")

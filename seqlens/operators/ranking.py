@@ -41,16 +41,18 @@ def position(c: Column, kind: T.DataType) -> Column:
     return F.coalesce(x, F.lit(float("-inf")))
 
 
-def value_ranges(df: DataFrame, order: str, name: str = "_range") -> DataFrame:
+def value_ranges(df: DataFrame, order: str, name: str = "_range", shared: bool = True) -> DataFrame:
     """``df`` with the range (0 to ``RANGES`` - 1, rising with ``order``) of each row.
 
-    Equal values lie in one range.  The subquery of the bounds reads all columns,
-    so that it shares the shuffle of an aggregated ``df`` with what follows.
+    Equal values lie in one range.  If ``shared``, the subquery of the bounds
+    reads all columns, so that it shares the shuffle of an aggregated ``df``
+    with what follows; else it reads the order alone.
     """
     pos = position(F.col(order), df.schema[order].dataType)
     shares = F.expr("array(" + ", ".join(f"{i / RANGES}D" for i in range(1, RANGES)) + ")")
-    bounds = df.select(pos.alias("_p"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(df.columns)]).agg(
-        F.percentile_approx("_p", shares, _ACCURACY).alias("fine"), *[F.max(f"_c{i}").alias(f"_c{i}") for i in range(len(df.columns))])
+    read = df.columns if shared else []
+    bounds = df.select(pos.alias("_p"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(read)]).agg(
+        F.percentile_approx("_p", shares, _ACCURACY).alias("fine"), *[F.max(f"_c{i}").alias(f"_c{i}") for i in range(len(read))])
     each = lambda n: F.filter("fine", lambda _, i: (i + 1) % n == 0)
     b = F.col("_b")  # a column, as a lambda can't hold a subquery itself
     passed = lambda x: F.size(F.filter(x, lambda v: v <= F.col("_p")))

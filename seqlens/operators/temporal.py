@@ -106,98 +106,17 @@ def add_temporal_features(df: DataFrame, spec: SequenceSpec = LAPS,
     return df.select("*", *out)
 
 
-def add_lags(df: DataFrame, cols, ks=(1,), spec: SequenceSpec = LAPS) -> DataFrame:
-    return df.select("*", *[lag_col(c, k, spec).alias(f"{c}_lag{k}") for c in cols for k in ks])
-
-
-def add_rolling(df: DataFrame, cols, width: int = WIDTH, stats=("mean", "std"),
-                spec: SequenceSpec = LAPS) -> DataFrame:
-    fns = {"mean": past_mean, "std": past_std}
-    return df.select("*", *[fns[s](c, spec, width).alias(f"{c}_rolling_{s}_{width}")
-                            for c in cols for s in stats])
-
-
-def add_change_flag(df: DataFrame, col: str, spec: SequenceSpec = LAPS) -> DataFrame:
-    return df.withColumn(f"{col}_changed_last_lap", change_flag(col, spec))
-
-
-def add_history_count(df: DataFrame, spec: SequenceSpec = LAPS, cap: int = HISTORY_CAP) -> DataFrame:
-    return df.withColumn("lap_history_count", history_count(spec, cap))
-
-
 # -- skew-safe form -------------------------------------------------------------
 
-def dense_index(df: DataFrame, spec: SequenceSpec = LAPS, name: str = "_idx") -> DataFrame:
-    """1-based row number inside each sequence without one task per sequence.
-
-    A distributed running count over range partitions of (keys, order): a
-    sequence holding a third of all rows is spread over many partitions.
-    """
-    from seqlens.operators.ranking import cumulative
-    o = F.struct(*[F.col(c) for c in spec.order]).alias("_ord")
-    base = df.withColumn("_ord", o).withColumn("_one", F.lit(1))
-    cum = cumulative(base, "_ord", ["_one"], by=spec.keys)
-    return cum.withColumnRenamed("cum__one", name).drop("_ord", "_one")
-
-
-def add_temporal_features_split(df: DataFrame, spec: SequenceSpec = LAPS,
-                                fill: float = FILL_VALUE, width: int = WIDTH) -> DataFrame:
-    """Same output as :func:`add_temporal_features` for hot (very long) sequences.
+def add_temporal_features_split(df: DataFrame, spec: SequenceSpec = LAPS, fill: float = FILL_VALUE,
+                                hot_rows: int | None = None) -> DataFrame:
+    """:func:`add_temporal_features` for tables with hot (very long) sequences.
 
-    Every row sends its values to itself and to the next ``width`` rows of its
-    sequence (a fixed fan-out of width + 1, never pairwise); a shuffle keyed on
-    (sequence keys, row index) brings each row's look-back together.  No
-    window puts a whole sequence into one task.
+    Sequences of more than ``hot_rows`` rows are cut to parts, each with copies
+    of the ``WIDTH`` rows before it, which is as far as a feature looks back;
+    the same expressions then run over (keys, part).
     """
+    from seqlens.operators.halo import HOT_ROWS, with_neighbours
     require_columns(df, [*spec.keys, spec.step, spec.category], "add_temporal_features_split")
-    v, d, deg = spec.value, spec.delta, spec.degradation
-    pos, pc, cat = spec.position, spec.position_change, spec.category
-    idx = dense_index(df, spec)
-    carried = F.struct(F.col(v).cast("double").alias("v"), F.col(d).cast("double").alias("d"),
-                       F.col(deg).cast("double").alias("g"), F.col(pos).cast("double").alias("p"),
-                       F.col(pc).cast("double").alias("pc"), F.col(cat).cast("string").alias("c"))
-    sent = idx.select(*spec.keys, F.col("_idx"), carried.alias("_val"),
-                      F.explode(F.sequence(F.lit(1), F.lit(width))).alias("_k")) \
-              .select(*spec.keys, (F.col("_idx") + F.col("_k")).alias("_idx"), "_k", "_val")
-    looks = sent.groupBy(*spec.keys, "_idx").agg(*[
-        F.max(F.when(F.col("_k") == k, F.col("_val"))).alias(f"_l{k}") for k in range(1, width + 1)])
-    j = idx.join(looks, [*spec.keys, "_idx"], "left")
-
-    def lag(field, k):
-        return F.col(f"_l{k}")[field]
-
-    def mean3(field):
-        vals = [lag(field, k) for k in range(1, width + 1)]
-        n = sum((x.isNotNull().cast("int") for x in vals[1:]), vals[0].isNotNull().cast("int"))
-        s = sum((F.coalesce(x, F.lit(0.0)) for x in vals[1:]), F.coalesce(vals[0], F.lit(0.0)))
-        return F.when(n > 0, s / n), n, vals
-
-    def std3(field):
-        m, n, vals = mean3(field)
-        ss = sum((F.when(x.isNotNull(), F.pow(x - m, 2)).otherwise(0.0) for x in vals[1:]),
-                 F.when(vals[0].isNotNull(), F.pow(vals[0] - m, 2)).otherwise(0.0))
-        return F.when(n >= 2, F.sqrt(ss / (n - 1)))
-
-    mean_v = mean3("v")[0]
-    prev_c = lag("c", 1)
-    cur_c = F.coalesce(F.col(cat).cast("string"), F.lit("nan"))
-    feats = {
-        f"{v}_lag1": lag("v", 1), f"{v}_lag2": lag("v", 2), f"{v}_lag3": lag("v", 3),
-        f"{d}_lag1": lag("d", 1), f"{d}_lag2": lag("d", 2), f"{d}_lag3": lag("d", 3),
-        f"{v}_rolling_mean_3": mean_v, f"{v}_rolling_std_3": std3("v"),
-        f"{d}_rolling_mean_3": mean3("d")[0], f"{d}_rolling_std_3": std3("d"),
-        f"{deg}_rolling_mean_3": mean3("g")[0],
-        f"{pos}_lag1": lag("p", 1), f"{pos}_rolling_mean_3": mean3("p")[0],
-        f"{pc}_lag1": lag("pc", 1),
-        f"{v}_diff_from_rolling_mean3": F.col(v).cast("double") - mean_v,
-        f"{cat}_changed_last_lap": F.when(F.col("_l1").isNotNull() & prev_c.isNotNull() & (cur_c != prev_c), 1)
-                                     .otherwise(0).cast("int"),
-        "lap_history_count": F.least(F.col("_idx") - 1, F.lit(HISTORY_CAP)).cast("int"),
-    }
-    out = []
-    for name, c in feats.items():
-        if name.endswith("_changed_last_lap") or name == "lap_history_count":
-            out.append(c.alias(name))
-        else:
-            out.append(F.coalesce(c, F.lit(float(fill))).alias(name))
-    return j.select(*df.columns, *out)
+    rows, parts = with_neighbours(df, spec, before=WIDTH, hot_rows=hot_rows or HOT_ROWS)
+    return add_temporal_features(rows, parts, fill).where("_own").drop("_own", "_part")

@@ -45,7 +45,3 @@ def summary_frame(comparison: DataFrame, per_group: DataFrame, best_model: str)
     # both sides are one-row aggregates of small report tables
     return cmp_.select(F.lit(best_model).alias("best_model"), "comparison",
                        grp.select("per_group_recall").scalar().alias("per_group_recall"))
-
-
-def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)

@@ -18,6 +18,7 @@ class SequenceSpec:
     season: str = "yr"
     step: str = "lap"
     tiebreak: tuple[str, ...] = ()
+    part: tuple[str, ...] = ()  # further key columns, as of a long sequence's parts
     target: str = "will_pit"
     supplied_label: str = "pit_next_lap"
     stint: str = "stint"
@@ -37,7 +38,7 @@ class SequenceSpec:
 
     @property
     def keys(self) -> list[str]:
-        return [self.entity, self.group, self.season]
+        return [self.entity, self.group, self.season, *self.part]
 
     @property
     def order(self) -> list[str]:

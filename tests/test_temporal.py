@@ -1,7 +1,12 @@
+import functools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from seqlens.operators.temporal import add_temporal_features, temporal_feature_names
+from seqlens.operators import label as L
+from seqlens.operators.halo import with_neighbours
+from seqlens.operators.temporal import add_temporal_features, add_temporal_features_split, temporal_feature_names
 
 
 def rows(df, driver):
@@ -88,14 +93,48 @@ def test_missing_columns_raise(synthetic):
         add_temporal_features(synthetic.drop("compound"))
 
 
-def test_split_form_equals_window_form(spark, synthetic):
-    from seqlens.operators.temporal import add_temporal_features_split
-    from seqlens.sources.testdata import laps
-    from tests.conftest import SF001
+def hot_table(spark):
+    """One sequence with most of the rows, others short, a null key, a null step, steps with gaps."""
+    rnd = random.Random(4)
+    rows = []
+    for driver, n in (("hot", 900), ("b", 40), (None, 120), ("c", 1), ("d", 3)):
+        steps = sorted(rnd.sample(range(3 * n), n))
+        stint = 1
+        for lap in steps:
+            stint += rnd.random() < .2
+            rows.append((driver, "r", 2020, lap, rnd.choice(["A", "B", None]), stint, rnd.choice([None, rnd.random()]), rnd.random(),
+                         rnd.random(), rnd.randint(1, 20), rnd.random(), rnd.randint(0, 1), rnd.randint(0, 1)))
+    rows.append(("hot", "r", 2020, None, "A", 0, 1.0, 2.0, 3.0, 4, 5.0, 0, 1))
+    return spark.createDataFrame(rows, "driver string, race string, yr int, lap int, compound string, stint int, lap_time double, "
+                                       "lap_time_delta double, cumulative_degradation double, position int, position_change double, "
+                                       "will_pit int, pit_next_lap int").repartition(5)
+
+
+def equal(a, b):
+    assert a.columns == b.columns and a.count() == b.count()
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize("hot_rows", [7, 100])
+def test_split_forms_equal_window_forms(spark, synthetic, hot_rows):
     names = temporal_feature_names()
-    for df in (synthetic, laps(spark, SF001)):
-        a = add_temporal_features(df).select("driver", "race", "yr", "lap", *[F.round(c, 9).alias(c) for c in names])
-        b = add_temporal_features_split(df).select("driver", "race", "yr", "lap",
-                                                   *[F.round(c, 9).alias(c) for c in names])
-        assert a.count() == b.count()
-        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    for df in (hot_table(spark), synthetic, synthetic.limit(0)):
+        pick = lambda x: x.select("driver", "race", "yr", "lap", *[F.round(c, 9).alias(c) for c in names])
+        equal(pick(add_temporal_features(df)), pick(add_temporal_features_split(df, hot_rows=hot_rows)))
+        equal(L.rebuild_label(df), L.rebuild_label_split(df, hot_rows=hot_rows))
+        equal(L.next_value(df, "stint"), L.next_value_split(df, "stint", hot_rows=hot_rows))
+
+
+def test_audits_of_hot_sequences(spark):
+    df, split = hot_table(spark), functools.partial(L.rebuild_label_split, hot_rows=50)
+    for f in (functools.partial(L.mismatch_profile, a="will_pit", b="pit_next_lap"),
+              functools.partial(L.label_decision, a="will_pit", b="pit_next_lap"), L.sequence_groups):
+        equal(f(df), f(df, rebuild=split))
+
+
+def test_copies_are_few(spark):
+    df = spark.range(100_000).select(F.lit("d").alias("driver"), F.lit("r").alias("race"), F.lit(1).alias("yr"), F.col("id").alias("lap"))
+    rows, spec = with_neighbours(df, before=3, after=1, hot_rows=1_000)
+    got = rows.groupBy("_part").agg(F.count_if("_own").alias("own"), F.count_if(~F.col("_own")).alias("copies")).collect()
+    assert spec.keys == ["driver", "race", "yr", "_part"] and len(got) == 100
+    assert sum(r.own for r in got) == 100_000 and max(r.own for r in got) < 2_000 and max(r.copies for r in got) == 4
