@@ -26,6 +26,7 @@ def get_spark(master: str | None = None, cpus: int | None = None,
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.ansi.enabled": "false",
+        "spark.scheduler.mode": "FAIR",
     }
     if master:
         b = b.master(master)
