@@ -34,9 +34,16 @@ def null_profile(df: DataFrame, only_positive: bool = True) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows beyond the first copy of each distinct row."""
-    return (df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-              .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows")))
+    """Rows beyond the first copy of each distinct row.
+
+    128-bit digests of the rows are counted first; only rows whose digest was
+    met twice are shuffled and compared whole.
+    """
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    keyed = df.withColumns({"_d1": F.xxhash64(*cols), "_d2": F.xxhash64(F.lit(1), *cols)})
+    twice = keyed.groupBy("_d1", "_d2").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
+    return (keyed.join(twice, ["_d1", "_d2"], "left_semi").groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+            .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows")))
 
 
 def cardinality(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:

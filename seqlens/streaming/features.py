@@ -122,11 +122,9 @@ def temporal_features_stream(sdf: DataFrame, spec: SequenceSpec = LAPS, ttl: str
 
 
 def events_window_rate(events: DataFrame, window: str = "1 day", watermark: str = "1 day") -> DataFrame:
-    """Per (tumbling window, event type): events, mean value, distinct users.
+    """Per (tumbling window, event type): events, mean value, purchases.
 
-    Works on a stream (watermark bounds the state) and on a batch frame
-    alike; ``approx`` distinct is not needed because the window groups are
-    per-day and users per day are bounded by the day's events.
+    Works on a stream (the watermark bounds the state) and on a batch frame alike.
     """
     kind = events.schema["ts"].dataType
     src = events

@@ -107,3 +107,22 @@ def test_sinks_roundtrip(spark):
     K.write_rows_json(s, os.path.join(d, "summary"))
     text = "".join(r[0] for r in spark.read.text(os.path.join(d, "summary")).collect())
     assert '"best_model":"m"' in text and "NaN" not in text   # NaN written as NULL (omitted)
+
+
+def test_files_with_other_headers_fail(spark, tmp_path):
+    cols = HEADER.split(",")
+    row = dict(zip(cols, "kestrel,loop-7,2031,1,SOFT,1,1.0,5,90.5,0.0,0.0,0.1,0.05,0.0,0,0,1,0".split(",")))
+    swapped = [cols[1], cols[0], *cols[2:]]
+    for k, order in enumerate((cols, swapped)):
+        (tmp_path / f"{k}.csv").write_text(",".join(order) + "\n" + ",".join(row[c] for c in order) + "\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        S.read_laps(spark, str(tmp_path)).collect()
+    (tmp_path / "1.csv").write_text(",".join(cols) + "\n" + ",".join(row[c] for c in cols) + "\n")
+    assert {(r.driver, r.race) for r in S.read_laps(spark, str(tmp_path)).collect()} == {("kestrel", "loop-7")}
+
+
+def test_duplicate_rows_compares_whole_rows(spark):
+    from seqlens.operators.profile import duplicate_rows
+    rows = [("a", None, 1), (None, "a", 1), ("a", None, 1), ("a", None, 1), ("b", "c", None), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "x string, y string, z int")
+    assert duplicate_rows(df).first()[0] == 3 and duplicate_rows(df.limit(0)).first()[0] == 0
