@@ -12,12 +12,15 @@ Candidates are confirmed on the full shingle sets and linked:
 1. documents with equal shingle sets collapse to one class (linked: similarity 1);
 2. a small hash met once in the corpus can't be part of a shared key, so pairs
    are formed from the colliding small hashes only;
-3. in each bucket every class is compared with the smallest one, and the
-   confirmed links give components;
+3. a bucket stands for its smallest class; every class is compared with the
+   ``FIRST`` of these that it shares most buckets with, and the confirmed links
+   give components;
 4. in buckets that still hold several components, classes of different
    components are compared if they share a rare shingle (found in at most
    ``RARE`` of these classes), or if both have so many that aren't rare that
-   these alone could make the link.  Both are necessary conditions, so no link
+   these alone could make the link, and if the parities of their shingles in
+   ``64 * WORDS`` bits differ in no more places than linked sets may differ in
+   shingles.  All are necessary conditions, so no link
    between classes that share a bucket is lost, while a large group of copies
    at mixed distances costs far less than its pairs.
 """
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlens.llm.base import broadcast_if_small, narrow, same, settle, tidy
@@ -35,6 +38,18 @@ from seqlens.llm.shingles import batched, coefficients, minhashes, mix, shingle_
 
 RARE = 8            # a shingle in so many unresolved classes or fewer names its pairs directly
 BROADCAST_IDS = 300_000
+FIRST = 2           # buckets' smallest classes that a class is compared with first
+WORDS = 8           # 64-bit words of a set's parity bits
+
+
+def _parity(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, WORDS) longs; a bit is set if an odd number of a set's hashes fall on it."""
+    width = 64 * WORDS
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    at = (mix(flat * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(width)).astype(np.int64)
+    odd = np.bincount(np.repeat(np.arange(len(sets)), size) * width + at, minlength=len(sets) * width) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sets), width), axis=1).view(np.int64)
 
 
 def _fold(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -60,7 +75,7 @@ def _sketcher(words: int, m: int, r: int, seed: int):
                 fold[n > 0] = [_fold(s) for s in some]
             small, fold = small.view(np.int64), fold.view(np.int64)
             return pd.DataFrame({"id": ids, "h": hs, "n": n, "s1": fold[:, 0], "s2": fold[:, 1],
-                                 "small": [list(x) if k else [] for x, k in zip(small, n)]})
+                                 "small": [list(x) if k else [] for x, k in zip(small, n)], "bits": list(_parity(sets))})
 
         for pdf in batches:
             for part in batched(zip(pdf["id"], pdf["h"], pdf["text"]), lambda r: len(r[2] or b"")):
@@ -151,9 +166,9 @@ def _linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     d = narrow(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"),
                                                       F.col("text").cast("binary").alias("text"))
     sk = settle(d.select("id", F.xxhash64("text").alias("h"), "text")
-                .mapInPandas(_sketcher(words, m, r, seed), "id long, h long, n long, s1 long, s2 long, small array<long>")
+                .mapInPandas(_sketcher(words, m, r, seed), "id long, h long, n long, s1 long, s2 long, small array<long>, bits array<long>")
                 .withColumn("c", F.when(F.col("n") > 0, _class_key())))
-    classes = settle(sk.where("n > 0").groupBy("c", "n").agg(F.first("small").alias("small"), F.min("id").alias("id"),
+    classes = settle(sk.where("n > 0").groupBy("c", "n").agg(F.first("small").alias("small"), F.first("bits").alias("bits"), F.min("id").alias("id"),
                                                               F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("low")))
 
     # tensored keys, from the small hashes that some other class shares
@@ -168,8 +183,10 @@ def _linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     full = cand.groupBy("key").agg(F.min(F.struct("c", "n")).alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1")
     cand = settle(cand.join(full.select("key", "low"), "key"))
 
-    first = settle(cand.where((F.col("c") != F.col("low.c")) & fits(F.col("n"), F.col("low.n"), percent))
-                   .select(F.col("low.c").alias("a"), F.col("c").alias("b")).distinct())
+    met_often = (cand.where((F.col("c") != F.col("low.c")) & fits(F.col("n"), F.col("low.n"), percent))
+                 .groupBy(F.col("c").alias("b"), F.col("low.c").alias("a")).agg(F.count(F.lit(1)).alias("k")))
+    turn = F.row_number().over(Window.partitionBy("b").orderBy(F.col("k").desc(), "a"))  # a class has at most m * m buckets
+    first = settle(met_often.withColumn("turn", turn).where(F.col("turn") <= FIRST).select("a", "b"))
 
     in_bucket = cand.select("c").distinct()
     readers = settle(classes.join(in_bucket, "c", "left_semi").select("id").distinct())
@@ -183,8 +200,11 @@ def _linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
     met = lambda at, k: F.exists(F.zip_with(F.slice("small", at, k), F.slice("l_small", at, k), lambda x, y: x == y),
                                  lambda x: x)
-    second = cross_pairs(cand.drop("low"), roots, sets, percent, classes.select("c", "small"),
-                         ~met(F.lit(1), F.col("p")) & ~met(F.lit(m + 1), F.col("q") - m))
+    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("l_bits")[i])) for i in range(1, WORDS)),
+                F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("l_bits")[0])))
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("l_n"))
+    second = cross_pairs(cand.drop("low"), roots, sets, percent, classes.select("c", "small", "bits"),
+                         near & ~met(F.lit(1), F.col("p")) & ~met(F.lit(m + 1), F.col("q") - m))
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     edges = edges.unionAll(_confirm(second.join(done, ["a", "b"], "left_anti"), sets, percent))
 

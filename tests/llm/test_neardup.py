@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqlens.llm import neardup as N
 from seqlens.llm.components import connected_components
 from seqlens.llm.neardup import drop_near_duplicates, near_duplicates
 
@@ -99,3 +101,15 @@ def test_components_chain_and_star(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(31)}} or got == {
         **{i: 0 for i in range(1, 41)}, **{101 + i: 100 for i in range(30)}}
+
+
+def test_parity_bits_bound_the_difference():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, k, dtype=np.uint64)) for k in (1, 5, 60, 400, 5000)]
+    sets += [np.unique(np.concatenate([s[len(s) // 3:], sets[0]])) for s in sets]
+    bits = N._parity(sets)
+    assert bits.shape == (len(sets), N.WORDS)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            apart = sum(int(x).bit_count() for x in np.bitwise_xor(bits[i], bits[j]).view(np.uint64))
+            assert apart <= len(np.setxor1d(a, b)) and (apart == 0) >= (i == j)
