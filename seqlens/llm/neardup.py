@@ -22,7 +22,9 @@ Candidates are confirmed on the full shingle sets and linked:
    ``64 * WORDS`` bits differ in no more places than linked sets may differ in
    shingles.  All are necessary conditions, so no link
    between classes that share a bucket is lost, while a large group of copies
-   at mixed distances costs far less than its pairs.
+   at mixed distances costs far less than its pairs.  Of these pairs each
+   class has one confirmed at a time; pairs that the links found so far have
+   brought into one component need no confirmation.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ from seqlens.llm.shingles import batched, coefficients, minhashes, mix, shingle_
 RARE = 8            # a shingle in so many unresolved classes or fewer names its pairs directly
 BROADCAST_IDS = 300_000
 FIRST = 2           # buckets' smallest classes that a class is compared with first
+ROUNDS = 4          # rounds in which a class has one pair confirmed
 WORDS = 8           # 64-bit words of a set's parity bits
 
 
@@ -158,6 +161,30 @@ def cross_pairs(cand: DataFrame, roots: DataFrame, sets: DataFrame, percent: int
     return by_rare.unionAll(by_key.select(F.least("l_c", "c").alias("a"), F.greatest("l_c", "c").alias("b"))).distinct()
 
 
+def _link_components(edges: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``edges`` with enough confirmed ``pairs`` (a, b) for the components that all links give.
+
+    In each of ``ROUNDS`` rounds a class has one of its pairs confirmed, if
+    the pair still lies in two components; what is left then, all at once.
+    """
+    pairs = settle(pairs)
+    for turn in range(ROUNDS + 1):
+        roots = connected_components(edges)
+        for end in ("a", "b"):
+            pairs = pairs.join(roots.withColumnsRenamed({"node": end, "root": f"r{end}"}), end, "left")
+        apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
+        pairs = settle(pairs.where(apart).select("a", "b"))
+        if not pairs.limit(1).count():
+            return edges
+        asked = pairs
+        if turn < ROUNDS:
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("c"), F.struct(F.xxhash64("a", "b").alias("h"), "a", "b").alias("x"))
+            asked = settle(ends.groupBy("c").agg(F.min("x").alias("x")).select("x.a", "x.b").distinct())
+            pairs = pairs.join(asked, ["a", "b"], "left_anti")
+        edges = edges.unionAll(settle(_confirm(asked, sets, percent)))
+    return edges
+
+
 def _linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
             m: int = 10, r: int = 2, seed: int = 7) -> DataFrame:
     """``(id, h, n, low)``, one row per input row; ``h`` is a hash of the text, ``low`` the first (z, id, h) of the
@@ -206,7 +233,7 @@ def _linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     second = cross_pairs(cand.drop("low"), roots, sets, percent, classes.select("c", "small", "bits"),
                          near & ~met(F.lit(1), F.col("p")) & ~met(F.lit(m + 1), F.col("q") - m))
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = edges.unionAll(_confirm(second.join(done, ["a", "b"], "left_anti"), sets, percent))
+    edges = _link_components(edges, second.join(done, ["a", "b"], "left_anti"), sets, percent)
 
     # component of each class, and the first row in it
     roots = connected_components(edges).select(F.col("node").alias("c"), "root")
