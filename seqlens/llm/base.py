@@ -45,6 +45,25 @@ def settle(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+#: rows of ids and hashes that one task takes (a few MB)
+TASK_ROWS = 200_000
+
+
+def sized(df: DataFrame, rows: int, a_task: int = TASK_ROWS) -> DataFrame:
+    """``df`` in as many partitions as its counted ``rows`` need, never more than it has.
+
+    Every map task of a shuffle writes files of its own, so a small table that
+    lies in many partitions costs far more disk than it has bytes.
+    """
+    return df.coalesce(max(1, -(-int(rows) // a_task)))
+
+
+def compact(df: DataFrame, a_task: int = TASK_ROWS) -> DataFrame:
+    """:func:`settle`, then :func:`sized` by the count of what was written."""
+    out = settle(df)
+    return sized(out, out.count(), a_task)
+
+
 #: a table goes to every executor only if it was counted and has no more rows and list entries than these (20 to 40 MB)
 BROADCAST_ROWS, BROADCAST_ENTRIES = 300_000, 1_000_000
 

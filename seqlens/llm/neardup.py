@@ -34,12 +34,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlens.llm.base import broadcast_if_small, narrow, same, settle, tidy
+from seqlens.llm.base import broadcast_if_small, compact, narrow, same, settle, sized, tidy
 from seqlens.llm.components import connected_components
 from seqlens.llm.shingles import batched, coefficients, minhashes, mix, shingle_set, word_hashes
 
 RARE = 8            # a shingle in so many unresolved classes or fewer names its pairs directly
 BROADCAST_IDS = 300_000
+WIDE_ROWS = 20_000  # rows with a sketch that one task takes
 FIRST = 2           # buckets' smallest classes that a class is compared with first
 ROUNDS = 4          # rounds in which a class has one pair confirmed
 WORDS = 8           # 64-bit words of a set's parity bits
@@ -135,7 +136,7 @@ def cross_pairs(cand: DataFrame, roots: DataFrame, sets: DataFrame, percent: int
     other class prefixed ``l_``) tells the one bucket that names a pair.
     """
     mem = cand.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    mem = settle(_mixed(mem))
+    mem = compact(_mixed(mem))
     words_in = sets.join(mem.select("c", "n", "root").distinct(), "c").select("c", "n", "root", F.explode("s").alias("x"))
     found = words_in.groupBy("x").agg(F.count(F.lit(1)).alias("k"), (F.min("root") != F.max("root")).alias("across"))
     rare = (F.col("k") <= RARE) & F.col("across")
@@ -148,7 +149,7 @@ def cross_pairs(cand: DataFrame, roots: DataFrame, sets: DataFrame, percent: int
 
     held = held.where(100 * F.col("f") >= percent * F.col("n")).select("c", "f")
     mem = mem.join(held if detail is None else held.join(detail, "c"), "c")
-    mem = settle(_mixed(mem))
+    mem = compact(_mixed(mem))
     big = (mem.groupBy("key", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("key")
            .agg(F.max_by("root", F.struct("k", "root")).alias("main")))
     rest = mem.join(big, "key").where("root <> main").select(
@@ -161,28 +162,30 @@ def cross_pairs(cand: DataFrame, roots: DataFrame, sets: DataFrame, percent: int
     return by_rare.unionAll(by_key.select(F.least("l_c", "c").alias("a"), F.greatest("l_c", "c").alias("b"))).distinct()
 
 
-def _link_components(edges: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``edges`` with enough confirmed ``pairs`` (a, b) for the components that all links give.
+def _link_components(roots: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``roots`` (node, root) after all links among ``pairs`` (a, b).
 
     In each of ``ROUNDS`` rounds a class has one of its pairs confirmed, if
-    the pair still lies in two components; what is left then, all at once.
+    the pair still lies in two components; what is left then, all at once.  A
+    round's components are those of the stars found before and its new links.
     """
-    pairs = settle(pairs)
+    pairs = compact(pairs)
     for turn in range(ROUNDS + 1):
-        roots = connected_components(edges)
         for end in ("a", "b"):
             pairs = pairs.join(roots.withColumnsRenamed({"node": end, "root": f"r{end}"}), end, "left")
-        apart = F.coalesce("ra", "a") != F.coalesce("rb", "b")
-        pairs = settle(pairs.where(apart).select("a", "b"))
-        if not pairs.limit(1).count():
-            return edges
-        asked = pairs
+        pairs = settle(pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+        left = pairs.count()
+        if not left:
+            break
+        asked = pairs = sized(pairs, left)
         if turn < ROUNDS:
             ends = pairs.select(F.explode(F.array("a", "b")).alias("c"), F.struct(F.xxhash64("a", "b").alias("h"), "a", "b").alias("x"))
-            asked = settle(ends.groupBy("c").agg(F.min("x").alias("x")).select("x.a", "x.b").distinct())
-            pairs = pairs.join(asked, ["a", "b"], "left_anti")
-        edges = edges.unionAll(settle(_confirm(asked, sets, percent)))
-    return edges
+            asked = compact(sized(ends.groupBy("c").agg(F.min("x").alias("x")), 2 * left).select("x.a", "x.b").distinct())
+            pairs = sized(pairs.join(asked, ["a", "b"], "left_anti"), left)
+        new = compact(_confirm(asked, sets, percent))
+        if new.limit(1).count():
+            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(new))
+    return roots
 
 
 def _linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
@@ -192,11 +195,11 @@ def _linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     percent = round(100 * similarity)
     d = narrow(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"),
                                                       F.col("text").cast("binary").alias("text"))
-    sk = settle(d.select("id", F.xxhash64("text").alias("h"), "text")
+    sk = compact(d.select("id", F.xxhash64("text").alias("h"), "text")
                 .mapInPandas(_sketcher(words, m, r, seed), "id long, h long, n long, s1 long, s2 long, small array<long>, bits array<long>")
-                .withColumn("c", F.when(F.col("n") > 0, _class_key())))
-    classes = settle(sk.where("n > 0").groupBy("c", "n").agg(F.first("small").alias("small"), F.first("bits").alias("bits"), F.min("id").alias("id"),
-                                                              F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("low")))
+                .withColumn("c", F.when(F.col("n") > 0, _class_key())), WIDE_ROWS)
+    classes = compact(sk.where("n > 0").groupBy("c", "n").agg(F.first("small").alias("small"), F.first("bits").alias("bits"), F.min("id").alias("id"),
+                                                              F.min(F.struct(F.col("id").isNull().alias("z"), "id", "h")).alias("low")), WIDE_ROWS)
 
     # tensored keys, from the small hashes that some other class shares
     flat = classes.select("c", "n", F.posexplode("small").alias("p", "h"))
@@ -208,12 +211,12 @@ def _linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         F.xxhash64(x["p"], x["h"], y["p"], y["h"]).alias("key"), x["p"].alias("p"), y["p"].alias("q")))))
     cand = rows.select("c", "n", F.inline(keys))
     full = cand.groupBy("key").agg(F.min(F.struct("c", "n")).alias("low"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    cand = settle(cand.join(full.select("key", "low"), "key"))
+    cand = compact(cand.join(full.select("key", "low"), "key"))
 
     met_often = (cand.where((F.col("c") != F.col("low.c")) & fits(F.col("n"), F.col("low.n"), percent))
                  .groupBy(F.col("c").alias("b"), F.col("low.c").alias("a")).agg(F.count(F.lit(1)).alias("k")))
     turn = F.row_number().over(Window.partitionBy("b").orderBy(F.col("k").desc(), "a"))  # a class has at most m * m buckets
-    first = settle(met_often.withColumn("turn", turn).where(F.col("turn") <= FIRST).select("a", "b"))
+    first = compact(met_often.withColumn("turn", turn).where(F.col("turn") <= FIRST).select("a", "b"))
 
     in_bucket = cand.select("c").distinct()
     readers = settle(classes.join(in_bucket, "c", "left_semi").select("id").distinct())
@@ -222,8 +225,7 @@ def _linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     sets = settle(d.join(readers, same(d["id"], readers["id"]), "left_semi")
                   .mapInPandas(_set_maker(words), "n long, s1 long, s2 long, s array<long>")
                   .select(_class_key().alias("c"), "s").join(in_bucket, "c", "left_semi").dropDuplicates(["c"]))
-    edges = settle(_confirm(first, sets, percent))
-    roots = connected_components(edges)
+    roots = connected_components(_confirm(first, sets, percent))
 
     met = lambda at, k: F.exists(F.zip_with(F.slice("small", at, k), F.slice("l_small", at, k), lambda x, y: x == y),
                                  lambda x: x)
@@ -233,10 +235,10 @@ def _linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     second = cross_pairs(cand.drop("low"), roots, sets, percent, classes.select("c", "small", "bits"),
                          near & ~met(F.lit(1), F.col("p")) & ~met(F.lit(m + 1), F.col("q") - m))
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = _link_components(edges, second.join(done, ["a", "b"], "left_anti"), sets, percent)
+    roots = _link_components(roots, second.join(done, ["a", "b"], "left_anti"), sets, percent)
 
     # component of each class, and the first row in it
-    roots = connected_components(edges).select(F.col("node").alias("c"), "root")
+    roots = roots.select(F.col("node").alias("c"), "root")
     of = classes.select("c", "low").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     low = of.groupBy("root").agg(F.min("low").alias("low"))
     of = of.select("c", "root").join(low, "root").select("c", "low")
