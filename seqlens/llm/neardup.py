@@ -15,7 +15,11 @@ Candidates are confirmed on the full shingle sets and linked:
 3. a bucket stands for its smallest class; every class is compared with the
    ``FIRST`` of these that it shares most buckets with, and the confirmed links
    give components;
-4. in buckets that still hold several components, classes of different
+4. in ``PIVOTS`` rounds each bucket that still holds several components names
+   one class, by a hash, and every class is compared with the one that it
+   meets in most of its buckets; this costs as much as there are classes, and
+   leaves few components of a large group;
+5. in buckets that still hold several components, classes of different
    components are compared if they share a rare shingle (found in at most
    ``RARE`` of these classes), or if both have so many that aren't rare that
    these alone could make the link, and if the parities of their shingles in
@@ -42,6 +46,7 @@ RARE = 8            # a shingle in so many unresolved classes or fewer names its
 BROADCAST_IDS = 300_000
 WIDE_ROWS = 20_000  # rows with a sketch that one task takes
 FIRST = 2           # buckets' smallest classes that a class is compared with first
+PIVOTS = 4          # rounds in which a bucket's classes are compared with one of them
 ROUNDS = 4          # rounds in which a class has one pair confirmed
 WORDS = 8           # 64-bit words of a set's parity bits
 
@@ -162,6 +167,33 @@ def cross_pairs(cand: DataFrame, roots: DataFrame, sets: DataFrame, percent: int
     return by_rare.unionAll(by_key.select(F.least("l_c", "c").alias("a"), F.greatest("l_c", "c").alias("b"))).distinct()
 
 
+def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of the stars ``roots`` (node, root) and new ``links`` (a, b), which are written out."""
+    if not links.limit(1).count():
+        return roots
+    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(links))
+
+
+def _pivot_components(cand: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``roots`` after ``PIVOTS`` rounds in which a class is compared with one class that a bucket of its names.
+
+    ``cand``: (key, c, n).  A round asks for as many pairs as there are
+    classes at most, however large a bucket is.
+    """
+    mem = cand.select("key", "c", "n")
+    for turn in range(PIVOTS):
+        mem = mem.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        mem = compact(_mixed(mem))
+        named = mem.groupBy("key").agg(F.min(F.struct(F.xxhash64("c", F.lit(turn)).alias("o"), "c", "n", "root")).alias("l"))
+        met = (mem.join(named, "key").where((F.col("root") != F.col("l.root")) & fits(F.col("n"), F.col("l.n"), percent))
+               .groupBy("c", F.col("l.c").alias("other")).agg(F.count(F.lit(1)).alias("k")))
+        asked = met.groupBy("c").agg(F.max(F.struct("k", "other")).alias("x")).select(
+            F.least("c", "x.other").alias("a"), F.greatest("c", "x.other").alias("b")).distinct()
+        roots = _grown(roots, compact(_confirm(compact(asked), sets, percent)))
+        mem = mem.drop("root")
+    return roots
+
+
 def _link_components(roots: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``roots`` (node, root) after all links among ``pairs`` (a, b).
 
@@ -182,9 +214,7 @@ def _link_components(roots: DataFrame, pairs: DataFrame, sets: DataFrame, percen
             ends = pairs.select(F.explode(F.array("a", "b")).alias("c"), F.struct(F.xxhash64("a", "b").alias("h"), "a", "b").alias("x"))
             asked = compact(sized(ends.groupBy("c").agg(F.min("x").alias("x")), 2 * left).select("x.a", "x.b").distinct())
             pairs = sized(pairs.join(asked, ["a", "b"], "left_anti"), left)
-        new = compact(_confirm(asked, sets, percent))
-        if new.limit(1).count():
-            roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(new))
+        roots = _grown(roots, compact(_confirm(asked, sets, percent)))
     return roots
 
 
@@ -225,7 +255,7 @@ def _linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     sets = settle(d.join(readers, same(d["id"], readers["id"]), "left_semi")
                   .mapInPandas(_set_maker(words), "n long, s1 long, s2 long, s array<long>")
                   .select(_class_key().alias("c"), "s").join(in_bucket, "c", "left_semi").dropDuplicates(["c"]))
-    roots = connected_components(_confirm(first, sets, percent))
+    roots = _pivot_components(cand, connected_components(_confirm(first, sets, percent)), sets, percent)
 
     met = lambda at, k: F.exists(F.zip_with(F.slice("small", at, k), F.slice("l_small", at, k), lambda x, y: x == y),
                                  lambda x: x)
