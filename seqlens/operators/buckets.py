@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,10 +84,10 @@ def density(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
     """Gaussian KDE on ``grid`` points over [min, max], Scott bandwidth.
 
     bandwidth = sample std * n^(-1/5).  The data are first reduced to
-    (value, count); each distinct value then emits its contribution to the
-    ``grid`` points (a fixed-size array, so the expansion is linear in the
-    distinct values, never pairwise), and a grouped sum with map-side
-    combine adds them up.  No join and no driver collection.
+    (value, count); a distinct value's contributions to all points are one
+    vector, and the vectors are added up map-side, so a task sends one vector
+    however many values it has.  No row is made per value and point.  Without
+    values, or without spread, the densities are NULL.
     """
     x = F.col(col).cast("double")
     vc = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c"))
@@ -96,14 +98,14 @@ def density(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
     bw = F.col("st.sd") * F.pow(n, F.lit(-0.2))
     step = (hi - lo) / F.lit(grid - 1)
     pts = F.sequence(F.lit(0), F.lit(grid - 1))
-    contrib = F.transform(pts, lambda i: F.col("c") * F.exp(F.lit(-0.5) * F.pow(((lo + i * step) - F.col("v")) / bw, 2)))
-    ex = with_st.select(F.posexplode(contrib).alias("point", "k"), lo.alias("lo"), step.alias("step"),
-                        n.alias("n"), bw.alias("bw"))
-    g = ex.groupBy("point").agg(F.sum("k").alias("s"), F.first("lo").alias("lo"), F.first("step").alias("step"),
-                                F.first("n").alias("n"), F.first("bw").alias("bw"))
-    norm = F.lit(1.0 / math.sqrt(2 * math.pi))
-    return g.select("point", (F.col("lo") + F.col("point") * F.col("step")).alias("x"),
-                    (F.col("s") * norm / (F.col("n") * F.col("bw"))).alias("density"))
+    each = F.transform(pts, lambda i: F.exp(F.lit(-0.5) * F.pow(((lo + i * step) - F.col("v")) / bw, 2)))
+    spark = df.sparkSession
+    none = spark.range(1).select(array_to_vector(F.array_repeat(F.lit(0.0), grid)).alias("k"), F.lit(1.0).alias("c"))  # a sum needs a row
+    vectors = with_st.where(bw > 0).select(array_to_vector(each).alias("k"), F.col("c").cast("double").alias("c")).unionAll(none)
+    total = vectors.agg(vector_to_array(Summarizer.metrics("sum").summary(F.col("k"), F.col("c"))["sum"]).alias("k"))
+    out = spark.range(grid).select(F.col("id").cast("int").alias("point"), stats_row(total).alias("all"), st.alias("st"))
+    scale = F.lit(math.sqrt(2 * math.pi)) * n * F.when(bw > 0, bw)
+    return out.select("point", (lo + F.col("point") * step).alias("x"), (F.col("all.k")[F.col("point")] / scale).alias("density"))
 
 
 def numeric_bounds(df: DataFrame, fallbacks: dict[str, tuple[float, float]], lo_q: float = 0.01,
