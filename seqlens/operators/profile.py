@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqlens.functions.util import stats_row
 from seqlens.operators.ranking import quantile_wide
+from seqlens.session import cut_lineage
 
 ONE_HOT_MAX = 10  # fixed rule: at most 10 distinct values -> one-hot
 
@@ -66,13 +67,13 @@ def value_range(df: DataFrame, col: str) -> DataFrame:
 
 def describe_exact(df: DataFrame, cols: list[str]) -> DataFrame:
     """count, mean, sample std, min, exact quartiles, max per column."""
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]))
-        .alias("_kv")).select("_kv.*")
+    rows = cut_lineage(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))  # moments and quantiles read it
+    stacked = rows.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])).alias("_kv")).select("_kv.*")
     moments = stacked.groupBy("column").agg(
         F.count("value").cast("long").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    qs = quantile_wide(df, cols, [0.25, 0.5, 0.75], names=["q25", "q50", "q75"])
+    qs = quantile_wide(rows, cols, [0.25, 0.5, 0.75], names=["q25", "q50", "q75"], written=True)
     return moments.join(qs, "column", "left").select(
         "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
@@ -118,7 +119,8 @@ def column_defaults(df: DataFrame, numeric: list[str], categorical: list[str],
     The mode breaks ties by the smallest value.  Output ``(column,
     numeric_default, text_default)``.
     """
-    med = quantile_wide(df, numeric, [0.5], names=["median"])
+    df = cut_lineage(df.select(*dict.fromkeys([*numeric, *categorical])))  # medians and modes read it
+    med = quantile_wide(df, numeric, [0.5], names=["median"], written=True)
     med = med.select("column", F.when(F.col("column").isin(*integer) if integer else F.lit(False),
                                       F.bround("median", 0)).otherwise(F.col("median")).alias("numeric_default"),
                      F.lit(None).cast("string").alias("text_default"))

@@ -36,7 +36,7 @@ SPLIT_SQL = GROUP_ORDER.replace("sp AS (SELECT laps.*, asg.split FROM laps JOIN
         f"round(({c} - m_{c}) / i_{c}, 6) AS {c}" for c in ROBUST_COLS) + " FROM sp, st"))
 def q_robust_scale(spark, sf):
     sp = split_laps(spark, sf)
-    stats = E.fit_robust(sp.where(F.col("split") == "train"), ROBUST_COLS)
+    stats = E.fit_robust(sp.where(F.col("split") == "train"), ROBUST_COLS, written=True)
     out = E.apply_robust(sp.select(*KEYS, *[c for c in ROBUST_COLS if c not in KEYS]), stats, ROBUST_COLS)
     return out.select(*KEYS, *[r6(c).alias(c) for c in ROBUST_COLS])
 

@@ -8,6 +8,7 @@ from seqlens.operators import rates as RT
 from seqlens.operators.ranking import quantile_wide
 from seqlens.plans.oracle_base import with_laps
 from seqlens.plans.registry import register
+from seqlens.session import cut_lineage
 from seqlens.sources.testdata import laps
 
 TARGET = "will_pit"
@@ -68,10 +69,10 @@ def q_top_entities(spark, sf):
 SELECT compound, round(avg(tyre_life), 6) AS mean_life, round(quantile_cont(tyre_life, 0.5), 6) AS median_life,
        cast(count(tyre_life) AS BIGINT) AS n FROM laps WHERE compound IS NOT NULL GROUP BY compound"""))
 def q_life_by_category(spark, sf):
-    l = laps(spark, sf).where(F.col("compound").isNotNull())
+    l = cut_lineage(laps(spark, sf).where(F.col("compound").isNotNull()).select("compound", "tyre_life"))
     m = l.groupBy("compound").agg(F.avg("tyre_life").alias("mean_life"),
                                   F.count("tyre_life").cast("long").alias("n"))
-    med = quantile_wide(l, ["tyre_life"], [0.5], by=["compound"], names=["median_life"]).drop("column")
+    med = quantile_wide(l, ["tyre_life"], [0.5], by=["compound"], names=["median_life"], written=True).drop("column")
     return m.join(med, "compound").select("compound", r6("mean_life").alias("mean_life"),
                                           r6("median_life").alias("median_life"), "n")
 

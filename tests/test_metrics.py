@@ -152,3 +152,51 @@ def test_brier_and_threshold_metrics(spark):
     assert (t["precision"], t["recall"]) == (0.5, 0.5)
     none = M.threshold_metrics(df, 2.0).first()
     assert (none["precision"], none["recall"], none["f1"]) == (0.0, 0.0, 0.0)
+
+
+def test_quantiles_are_found_in_brackets(spark, monkeypatch):
+    """Rows are neither counted by value nor ordered whole; a bracket that misses is made up for."""
+    from seqlens.operators import ranking as R
+    rng = np.random.default_rng(3)
+    xs = {g: np.round(rng.normal(size=9000) ** 3, 2 + 4 * g) for g in (0, 1)}
+    rows = [(g, float(v), None if i % 3 else float(i % 5)) for g in xs for i, v in enumerate(xs[g])] + [(None, 4.0, None), (2, None, None)]
+    df = spark.createDataFrame(rows, "g int, x double, t double")
+    want = {(g, q): float(np.quantile(xs[g], q)) for g in xs for q in (0.0, 0.25, 0.99)} | {(None, q): 4.0 for q in (0.0, 0.25, 0.99)}
+    tied = np.array([float(i % 5) for i in range(0, 9000, 3)])
+
+    def check():
+        got = {(r["g"], r["column"], r["q"]): r["value"] for r in R.quantiles(df, ["x", "t"], [0.0, 0.25, 0.99], by=["g"]).collect()}
+        assert {(g, q): v for (g, c, q), v in got.items() if c == "x"} == pytest.approx(want, abs=1e-12)
+        assert got[0, "t", 0.25] == got[1, "t", 0.25] == np.quantile(tied, 0.25)
+
+    counted, plain = [], R.value_counts_long
+    monkeypatch.setattr(R, "value_counts_long", lambda *a: counted.append(a) or plain(*a))
+    check()
+    monkeypatch.setattr(R, "_FEW", 0)
+    check()
+    assert not counted
+    # a sketch that is far off
+    off = R.F.percentile_approx
+    monkeypatch.setattr(R.F, "percentile_approx", lambda c, s, a: off(c, [1.0] * len(s) if isinstance(s, list) else s, a))
+    check()
+    assert counted
+
+
+def test_quantiles_of_infinite_values(spark):
+    df = spark.createDataFrame([(float(v),) for v in ("-inf", "1", "2", "inf", "nan")], "x double")
+    got = {r["q"]: r["value"] for r in quantiles(df, ["x"], [0.0, 0.25, 0.5, 0.75]).collect()}
+    assert got[0.25] == 1.0 and all(np.isnan(got[q]) for q in (0.5, 0.75)), got  # 2 + 0 * (inf - 2), inf + 0 * (nan - inf)
+    assert not quantiles(df.limit(0), ["x"], [0.5]).collect()
+
+
+def test_ranges_without_bounds_in_rows(spark):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    plan = value_ranges(df, "x")._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan  # such projections copy the bounds into every row
+
+
+def test_split_sequences_are_read_once(spark):
+    from seqlens.operators.halo import with_neighbours
+    rows = spark.createDataFrame([("a", "b", 1, i) for i in range(40)], "driver string, race string, yr int, lap int")
+    plan = with_neighbours(rows.where("lap < 99"), after=1, hot_rows=10)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "lap#" in plan and "< 99" not in plan
