@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from seqlens.functions.util import join_small
 from seqlens.operators.ranking import RANGES, value_ranges
+from seqlens.session import cut_lineage
 from seqlens.spec import LAPS, SequenceSpec
 
 HOT_ROWS = 1_000_000
@@ -45,6 +46,7 @@ def with_neighbours(df: DataFrame, spec: SequenceSpec = LAPS, before: int = 0, a
     come first, null keys are keys like others.
     """
     cols = df.columns
+    df = cut_lineage(df)  # lengths, ranges, edges and rows are read from it
     n = df.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     hot = n.select(*[F.col(k).alias(f"_h_{k}") for k in spec.keys],
                    F.least(F.lit(RANGES), F.ceil(F.col("_n") / hot_rows)).cast("long").alias("_parts"))

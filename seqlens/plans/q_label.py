@@ -167,7 +167,9 @@ def q_label_comparison(spark, sf):
 def q_temporal_features_split(spark, sf):
     """Skew-safe twin of q_temporal_features (row index + bounded fan-out)."""
     from seqlens.operators.temporal import add_temporal_features_split
-    return temporal_select(add_temporal_features_split(laps(spark, sf), hot_rows=20))
+    needed = laps(spark, sf).select(*KEYS, "compound", "will_pit", LAPS.value, LAPS.delta, LAPS.degradation, LAPS.position,
+                                    LAPS.position_change)
+    return temporal_select(add_temporal_features_split(needed, hot_rows=20))
 
 
 @register("q_label_rebuild_split", with_laps("""
@@ -177,4 +179,4 @@ SELECT driver, race, yr, lap,
 FROM laps WINDOW w AS (PARTITION BY driver, race, yr ORDER BY lap)"""))
 def q_label_rebuild_split(spark, sf):
     """Skew-safe twin of q_label_rebuild (row index + equi-join)."""
-    return L.rebuild_label_split(laps(spark, sf), hot_rows=20).select(*KEYS, "label_rebuilt", "is_final")
+    return L.rebuild_label_split(laps(spark, sf).select(*KEYS, "stint"), hot_rows=20).select(*KEYS, "label_rebuilt", "is_final")
