@@ -6,6 +6,7 @@ from seqlens.functions import expr as X
 from seqlens.functions.util import r6
 from seqlens.plans.oracle_base import with_laps
 from seqlens.plans.registry import register
+from seqlens.session import cut_lineage
 from seqlens.sources.testdata import laps
 from seqlens.spec import LAPS
 
@@ -104,7 +105,7 @@ def q_scenario_rows(spark, sf):
     """Quick-scenario derivation against dataset maxima and degradation levels."""
     from seqlens.operators.buckets import quantile_levels
     from seqlens.operators.score import scenario_rows
-    l = laps(spark, sf)
+    l = cut_lineage(laps(spark, sf).select(*KEYS, "compound", "race_progress", "tyre_life", "cumulative_degradation"))
     name = F.when(F.col("compound") == "SOFT", "High").when(F.col("compound") == "MEDIUM", "Medium") \
             .when(F.col("compound") == "HARD", "Low")
     out = scenario_rows(l.withColumn("asked", name), l, level="asked", levels=quantile_levels(l, "cumulative_degradation"))
