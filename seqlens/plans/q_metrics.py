@@ -12,6 +12,7 @@ from seqlens.operators import metrics as M
 from seqlens.operators import threshold as T
 from seqlens.plans.oracle_base import with_laps
 from seqlens.plans.registry import register
+from seqlens.session import cut_lineage
 from seqlens.sources.testdata import laps
 
 THRESHOLD = 0.5
@@ -149,7 +150,8 @@ SELECT model, threshold, round(precision, 6) AS precision, round(recall, 6) AS r
 
 
 def _recall_target(spark, sf, target):
-    best = T.threshold_recall_target(M.pr_points(model_scores(spark, sf), "model"), target, ["model"])
+    points = cut_lineage(M.pr_points(model_scores(spark, sf), "model"))  # read for the target and for the fallback
+    best = T.threshold_recall_target(points, target, ["model"])
     return best.select("model", "threshold", r6("precision").alias("precision"),
                        r6("recall").alias("recall"), r6("f1").alias("f1"), "policy")
 
